@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
+from veilspark.llm.media import op4_media_columns
+from veilspark.llm.mixing import op2_source_mixing
 from veilspark.llm.ngram_join import op1_ngram_join
+from veilspark.llm.packing import op3_packing
+from veilspark.llm.pii import op8_pii
+from veilspark.llm.quality import op6_quality_rules
+from veilspark.llm.secrets import op10_secret_scan
+from veilspark.llm.sharding import op9_sharding
+from veilspark.llm.token_counts import op5_token_counts
+from veilspark.llm.token_files import op7_token_files
 
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
@@ -25,8 +34,15 @@ FROM s
 """
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {"op1_ngram_join": op1_ngram_join}
+    ops = (op1_ngram_join, op2_source_mixing, op3_packing, op4_media_columns, op5_token_counts, op6_quality_rules, op7_token_files, op8_pii, op9_sharding, op10_secret_scan)
+    return {f.__name__: f for f in ops} | {"pipeline": _pipeline}
 
 
 def oracle_sql():
