@@ -315,7 +315,23 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = placed.join(smallest, "root").select("cls", "component_id")
     out = rows.join(ids, "cls", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("class"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("class"), F.coalesce("component_id", "id").alias("component_id"), F.col("key").alias("text_hash"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with one row of each component: that of the smallest id, and of rows with that id one. Rows without
+    shingles or without an id all stay."""
+    found = ngram_components(docs, id_col, text_col, **how).select(F.col(id_col).alias("_j_id"), F.col("text_hash").alias("_j_key"), "n_shingles", "component_id")
+    linked = staged(found.filter("n_shingles > 0 and _j_id is not null").drop("n_shingles"), "linked")
+    heads = linked.filter("_j_id = component_id").groupBy("component_id").agg(F.min("_j_key").alias("head"), F.count("*").alias("rows"))
+    gone = linked.join(heads, "component_id").filter("_j_id <> component_id or _j_key <> head").select("_j_id", "_j_key").distinct()
+    same = lambda other: (docs[id_col] == other["_j_id"]) & (F.xxhash64(docs[text_col]) == other["_j_key"])
+    out = docs.join(gone, same(gone), "left_anti")
+    repeated = heads.filter("rows > 1").select(F.col("component_id").alias("_j_id"), F.col("head").alias("_j_key"))
+    if repeated.limit(1).count():  # rows with the same id and text
+        once = docs.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, text_col])
+        out = out.join(repeated, (out[id_col] == repeated["_j_id"]) & (F.xxhash64(out[text_col]) == repeated["_j_key"]), "left_anti").unionByName(once)
+    return out
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
