@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.shipping import ship
+from veilspark.functions.shipping import with_columns_from
 from veilspark.functions import spans as sp
 
 #: Names up to which a scan is expressions in the plan; a larger dictionary is one automaton in each task.
@@ -57,9 +57,8 @@ def with_dictionary_spans(docs: DataFrame, entries: list[tuple[str, str]], text_
     if sum(len(n.encode()) for _, n in wanted) > AUTOMATON_BYTES:
         raise ValueError("the dictionary is too large for a task: split it by type and union the spans")
 
-    ship(docs.sparkSession)
-    @F.pandas_udf(f"array<{sp.SPAN}>")
-    def search(batches: pd.Series) -> pd.Series:
+
+    def search(texts):
         import ahocorasick
 
         a = ahocorasick.Automaton()
@@ -72,13 +71,13 @@ def with_dictionary_spans(docs: DataFrame, entries: list[tuple[str, str]], text_
 
         def one(x):
             last, found = {}, []
-            for stop, (n, types) in a.iter(x):
+            for stop, (n, types) in a.iter(x or ""):
                 at = stop - len(n) + 1
                 if at >= last.get(n, 0):
                     last[n] = stop + 1
                     found += [(k, at, n, t) for k, t in types]
             return [{"pos": p, "txt": n, "etype": t, "layer": "custom", "prio": 0, "seq": 0} for _, p, n, t in sorted(found)]
 
-        return batches.map(one)
+        return [[one(x) for x in texts]]
 
-    return docs.withColumn(into, search(text))
+    return with_columns_from(docs, [text_col], f"{into} array<{sp.SPAN}>", search)

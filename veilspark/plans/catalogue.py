@@ -306,7 +306,7 @@ def llm_json_parse(spark, sf):
     return _fixture(spark, sf, "replies").select("doc_id", F.inline(models.parsed_reply(F.col("text"))))
 
 
-@query("""WITH e AS (SELECT user_id, event_id, epoch(ts)::BIGINT AS a, epoch(ts)::BIGINT + 60 AS b FROM events),
+@query("""WITH e AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS a, CAST(floor(epoch(ts)) AS BIGINT) + 60 AS b FROM events),
 n AS (SELECT *, CASE WHEN max(b) OVER w IS NULL OR a - max(b) OVER w > 3600 THEN 1 ELSE 0 END AS f FROM e WINDOW w AS (PARTITION BY user_id ORDER BY a, b, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 i AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY a, b, event_id ROWS UNBOUNDED PRECEDING) AS island FROM n)
 SELECT user_id, min(a) AS start, max(b) AS stop, count(*) AS n FROM i GROUP BY user_id, island""")

@@ -13,11 +13,10 @@ import zipfile
 from collections.abc import Callable, Mapping
 from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.functions.shipping import ship
+from veilspark.functions.shipping import with_columns_from
 from veilspark.functions import normalize
 
 INPUTS = (".txt", ".md", ".pdf", ".docx", ".doc", ".jpg", ".jpeg", ".png", ".bmp", ".tiff", ".gif", ".webp")
@@ -88,33 +87,31 @@ def read_files(spark: SparkSession, path: str, readers: Mapping[str, Callable[[b
     """path, suffix, length, text, error of all files under path. Larger files and unknown kinds without readable text
     have an error."""
 
-    ship(spark)
     own = dict(readers or {})
-    files = spark.read.format("binaryFile").load(path)
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./\\]+)$", 1))
 
-    @F.pandas_udf("struct<text:string,error:string>")
-    def extracted(kind: pd.Series, content: pd.Series) -> pd.DataFrame:
-        rows = []
-        for k, data in zip(kind, content, strict=True):
-            try:
-                if data is None:
-                    rows.append((None, "file too large"))
-                elif k in own:
-                    rows.append((own[k](data), None))
-                elif k == ".docx":
-                    rows.append((docx_text(data), None))
-                elif k in (".pdf", ".doc", *INPUTS[5:]):
-                    rows.append((None, f"no reader for {k}"))
-                else:
-                    rows.append((plain_text(data), None))
-            except Exception as e:  # one file's failure is that file's error
-                rows.append((None, f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(rows, columns=["text", "error"])
+    def one(kind, data):
+        try:
+            if data is None:
+                return None, "file too large"
+            if kind in own:
+                return own[kind](data), None
+            if kind == ".docx":
+                return docx_text(data), None
+            if kind in (".pdf", ".doc", *INPUTS[5:]):
+                return None, f"no reader for {kind}"
+            return plain_text(data), None
+        except Exception as e:  # one file's failure is that file's error
+            return None, f"{type(e).__name__}: {e}"
+
+    def extracted(kinds, contents):
+        rows = [one(k, c) for k, c in zip(kinds, contents, strict=True)]
+        return [[t for t, _ in rows], [e for _, e in rows]]
 
+    files = spark.read.format("binaryFile").load(path)
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./\\]+)$", 1))
     small = F.when(F.col("length") <= largest, F.col("content"))
-    out = files.select("path", suffix.alias("suffix"), "length", small.alias("content")).withColumn("x", extracted("suffix", "content"))
-    return out.select("path", "suffix", "length", normalize.joined_lines(F.col("x.text")).alias("text"), F.col("x.error").alias("error"))
+    out = with_columns_from(files.select("path", suffix.alias("suffix"), "length", small.alias("content")), ["suffix", "content"], "raw string, error string", extracted)
+    return out.select("path", "suffix", "length", normalize.joined_lines(F.col("raw")).alias("text"), "error")
 
 
 def inbox(spark: SparkSession, path: str) -> DataFrame:

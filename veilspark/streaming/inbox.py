@@ -16,10 +16,10 @@ def text_stream(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataF
     return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def masked_stream(docs: DataFrame, **how) -> DataFrame:
+def masked_stream(docs: DataFrame, everything: str | None = None, **how) -> DataFrame:
     """docs with masked_text, mapping and log; legal in append mode. Names are numbered within a document."""
     style = how.pop("style", "english_bracket")
-    return masks.masked(detect(docs, **how), style=style, abbreviations="abbreviations").drop("spans", "abbreviations")
+    return masks.masked(detect(docs, **how), style=style, everything=everything, abbreviations="abbreviations").drop("spans", "abbreviations")
 
 
 def merged_mapping(path: str):
