@@ -16,7 +16,7 @@ import numpy as np
 from veilspark.llm.shared import IS_SPACE, piece_hashes, slabs
 
 #: Pieces that a worker keeps; a full store is emptied and filled anew, so that only speed depends on it.
-KEPT_PIECES = 700_000
+KEPT_PIECES = 2_000_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
