@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import masks, spans as sp
+from veilspark.functions.shipping import with_columns_from
 from veilspark.operators.detect import detect
 
 MAPPING = "map<string,struct<type:string,original:string,is_abbreviation:boolean,full_name:string,full_placeholder:string>>"
@@ -35,6 +36,15 @@ def run_exact(items: DataFrame, dictionary: Sequence[tuple[str, str]] = (), mapp
     return out, mapping
 
 
+def _longest(spans: list[dict]) -> list[dict]:
+    """Spans that stay where longer ones, then earlier ones, come first."""
+    kept: list[dict] = []
+    for s in sorted(spans, key=lambda s: (-len(s["txt"]), s["pos"], s["txt"], s["etype"])):
+        if all(s["pos"] + len(s["txt"]) <= k["pos"] or k["pos"] + len(k["txt"]) <= s["pos"] for k in kept):
+            kept.append(s)
+    return kept
+
+
 def run_global(items: DataFrame, dictionary: Sequence[tuple[str, str]] = (), style: str = "english_bracket", id_col: str = "idx", **how) -> tuple[DataFrame, DataFrame]:
     """(id_col, masked_text; mapping rows placeholder, type, original): one pass to detect, one shuffle by name to number.
 
@@ -42,7 +52,7 @@ def run_global(items: DataFrame, dictionary: Sequence[tuple[str, str]] = (), sty
     holds all names of a label.
     """
     df = detect(items, dictionary, **how)
-    df = df.withColumn("sel", sp.greedy(sp.longest_first(F.col("spans"))))
+    df = with_columns_from(df, ["spans"], f"sel array<{sp.SPAN}>", lambda rows: [[_longest(r or []) for r in rows]])
     label = masks._lookup(masks.labels(style), F.col("etype"), "UNKNOWN")
     names = sp.exploded(df, id_col, "sel").select("etype", "txt").distinct().withColumn("label", label).withColumn("block", F.pmod(F.xxhash64("etype", "txt"), F.lit(1024)))
     before = names.groupBy("label", "block").agg(F.count("*").alias("n"))

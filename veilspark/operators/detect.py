@@ -1,6 +1,6 @@
 """Detection: dictionary, pattern, rule-entity and model layers fused into one array of spans in each document's row.
 
-Everything is a projection: no layer shuffles. Patterns and dictionaries are expressions; the entity rules, with fusion
+Everything is a projection: no layer shuffles. Patterns are expressions; dictionaries, and the entity rules, with fusion
 and expansion behind them, are one pass in Arrow batches, so that a text crosses to Python once. entities=False leaves it out.
 """
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.shipping import with_columns_from
 from veilspark.functions import spans as sp
 
-#: Names up to which a scan is expressions in the plan; a larger dictionary is one automaton in each task.
-INLINE_NAMES = 200
 #: Bytes of names that a task may hold.
 AUTOMATON_BYTES = 256 << 20
 
@@ -38,22 +36,14 @@ def for_item(dictionary: DataFrame, item: int, mapping: DataFrame | None = None)
     return (own if mapping is None else own.union(mapping.select("type", F.col("original").alias("name")))).distinct()
 
 
-def occurrences(text: Column, name: Column, etype: Column, layer: str = "custom") -> Column:
-    """Spans of the occurrences of a literal name that don't overlap each other."""
-    h = sp.hits(text, sp.quoted(name))
-    return F.when(F.contains(text, name), F.transform(sp.placed(h), lambda x: sp.span(x["pos"], x["txt"], etype, layer))).otherwise(sp.no_spans())
-
-
 def with_dictionary_spans(docs: DataFrame, entries: list[tuple[str, str]], text_col: str = "text", only: list[str] | None = None, exclude: list[str] | None = None, into: str = "custom_spans") -> DataFrame:
     """docs with the spans of dictionary names (type, name), in order of the dictionary, then position.
 
-    Few names are expressions; more are searched by one automaton a task, whose size is checked before it's sent.
+    One automaton a task searches for all names in one pass over a text; its size is checked before it's sent.
     """
     wanted = [(t, n) for t, n in dict.fromkeys(entries) if n and (not only or t in only) and t not in (exclude or ())]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    if len(wanted) <= INLINE_NAMES:
-        parts = [occurrences(text, F.lit(n), F.lit(t)) for t, n in wanted]
-        return docs.withColumn(into, F.concat(*parts) if parts else sp.no_spans())
+    if not wanted:
+        return docs.withColumn(into, sp.no_spans())
     if sum(len(n.encode()) for _, n in wanted) > AUTOMATON_BYTES:
         raise ValueError("the dictionary is too large for a task: split it by type and union the spans")
 
