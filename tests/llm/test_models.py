@@ -19,11 +19,14 @@ def test_prefix_tree_against_all_pairs():
             s = np.where(rng.random(len(base)) < 0.1, rng.choice(400, len(base)), base)
             sets.append(np.unique(s).astype(np.uint64))
     tree = ngram_join.PrefixTree(sets, 3, 4)
-    everyone = np.arange(len(sets))
     for p in range(len(sets)):
         a = set(sets[p].tolist())
         want = [q for q in range(len(sets)) if 4 * len(a & set(sets[q].tolist())) >= 3 * len(a | set(sets[q].tolist()))]
-        assert sorted(tree.probe(p, everyone).tolist()) == want
+        assert sorted(tree.probe(p).tolist()) == want
+    roots = ngram_join.linked_roots(sets, 3, 4)
+    for p in range(len(sets)):
+        tree = ngram_join.PrefixTree(sets, 3, 4)
+        assert len(set(roots[tree.probe(p)].tolist())) == 1
 
 
 @pytest.mark.parametrize("kind", list(media.FILTERS))

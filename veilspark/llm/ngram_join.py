@@ -8,8 +8,8 @@ Each text is a set of shingle hashes in one global order (ascending hash). The j
    packed arrays, meet by shingle. A class with too few shared shingles is linked with nothing. Of the others, each
    keeps its shared shingles but the most frequent ones that it could do without, and classes that meet at one of
    those are candidates of each other. (All these filters lose no link.)
-3. The connected parts of the candidates are the units of the exact join. A unit's ordered sets go in a prefix tree
-   whose nodes are runs of shingles; a probe walks it level by level, counts the overlap of each node once for all
+3. The connected parts of the candidates are the units of the exact join. A unit's sets, ordered by how few of them have
+   a shingle, go in a prefix tree whose nodes are runs of shingles; a probe walks it level by level, counts the overlap of each node once for all
    sets below it, and leaves the sets that can't reach the needed overlap with the rest of either set. What a probe
    links leaves the tree, and probes in its turn, so that each set probes once and a dense group is walked once.
    A part that is too large for a task is cut in chunks and each pair of chunks is a unit: nothing is left out.
@@ -147,20 +147,31 @@ def _candidate_rows(batches) -> Iterator:
 
 
 class PrefixTree:
-    """A prefix tree over ordered integer sets. A level holds the next run of each set's elements; sets with the same
-    elements so far share a node."""
+    """A prefix tree over integer sets, each in one order (the elements that fewest sets have first). A level holds the
+    next run of each set's elements; sets with the same elements so far share a node.
+
+    A probe starts at the sets that have one of its first elements among their own first ones: two sets that are linked
+    always do (n less the needed overlap, and one more). Sets that were taken out are not found again.
+    """
 
     def __init__(self, sets: list[np.ndarray], num: int, den: int):
         self.num, self.den = num, den
         self.n = np.array([len(s) for s in sets], np.int64)
         self.start = np.cumsum(self.n) - self.n
-        values, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        values, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.empty(len(values), np.int64)
+        rank[np.argsort(count, kind="stable")] = np.arange(len(values))
+        self.flat = rank[back]
+        for a, n in zip(self.start.tolist(), self.n.tolist(), strict=True):
+            self.flat[a : a + n].sort()
         self.mark = np.zeros(len(values), bool)
+        self.first = self.n - _need(self.n, num, den) + 1
+        self.alive = np.ones(len(sets), bool)
+        self._list()
         self.levels = []  # (node of each set or -1, first element of each node's run, its end, depth at its end)
         mixed = np.zeros(len(self.flat) + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            up = np.random.default_rng(7).integers(1, 1 << 63, len(values), dtype=np.uint64)
-            np.cumsum(up[self.flat], out=mixed[1:])
+        up = np.random.default_rng(7).integers(1, 1 << 63, len(values), dtype=np.uint64)
+        np.cumsum(up[self.flat], out=mixed[1:])
         at, width = 0, 8
         deepest = int(self.n.max())
         while at < deepest:
@@ -176,12 +187,34 @@ class PrefixTree:
             at += width
             width = min(2 * width, 4096) if len(self.levels) > 1 else 8
 
-    def probe(self, p: int, alive: np.ndarray) -> np.ndarray:
-        """The sets among alive (positions) that are linked with the set at p."""
+    def _list(self) -> None:
+        """Lists, for each element, the sets that have it among their first ones."""
+        sets = np.flatnonzero(self.alive)
+        size = self.first[sets]
+        owner = np.repeat(sets, size)
+        ends = np.cumsum(size)
+        element = self.flat[np.arange(len(owner)) + np.repeat(self.start[sets] - (ends - size), size)]
+        order = np.argsort(element, kind="stable")
+        self.owner, self.bounds = owner[order], np.searchsorted(element[order], np.arange(len(self.mark) + 1))
+        self.listed = len(sets)
+
+    def remove(self, sets: np.ndarray) -> None:
+        self.alive[sets] = False
+        if 2 * np.count_nonzero(self.alive) < self.listed:
+            self._list()
+
+    def probe(self, p: int) -> np.ndarray:
+        """The sets that are linked with the set at p, of those in the tree."""
         np_, own = int(self.n[p]), self.flat[self.start[p] : self.start[p] + self.n[p]]
-        n = self.n[alive]
+        head = own[: self.first[p]]
+        lo, hi = self.bounds[head], self.bounds[head + 1]
+        size = hi - lo
+        ends = np.cumsum(size)
+        met = np.unique(self.owner[np.arange(ends[-1]) + np.repeat(lo - (ends - size), size)])
+        ds = met[self.alive[met]]
+        n = self.n[ds]
         # num/den is the least Jaccard similarity: den * I >= num * (union)
-        ds = alive[(n * self.den >= np_ * self.num) & (np_ * self.den >= n * self.num)]
+        ds = ds[(n * self.den >= np_ * self.num) & (np_ * self.den >= n * self.num)]
         need = -((-(np_ + self.n[ds]) * self.num) // (self.num + self.den))
         over = np.zeros(len(ds), np.int64)
         found = []
@@ -203,26 +236,25 @@ class PrefixTree:
             more = ~hit & (over + np.minimum(left[back], self.n[ds] - depth[nodes][back]) >= need)
             ds, need, over = ds[more], need[more], over[more]
         self.mark[own] = False
-        return np.concatenate(found) if found else alive[:0]
+        return np.concatenate(found) if found else ds[:0]
 
 
 def linked_roots(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """For each non-empty ordered set, the first set of its component under 'Jaccard similarity at least num/den'."""
-    m = len(sets)
-    root = np.arange(m)
-    if m < 2:
+    root = np.arange(len(sets))
+    if len(sets) < 2:
         return root
     tree = PrefixTree(sets, num, den)
-    alive = np.arange(m)
-    while len(alive) > 1:
-        r, alive = alive[0], alive[1:]
+    for r in range(len(sets)):
+        if not tree.alive[r]:
+            continue
+        tree.remove(np.array([r]))
         queue = [r]
-        while queue and len(alive):
-            links = tree.probe(queue.pop(), alive)
-            if len(links):
-                root[links] = r
-                queue += links.tolist()
-                alive = alive[~np.isin(alive, links, assume_unique=True)]
+        while queue and tree.listed:
+            links = tree.probe(queue.pop())
+            root[links] = r
+            queue += links.tolist()
+            tree.remove(links)
     return root
 
 
@@ -291,7 +323,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     volume = volume.select("root", F.when(F.col("v") <= 2, 1).otherwise(F.col("v")).alias("chunks"))
     cut = bool(volume.filter("chunks > 1").limit(1).count())
     chosen = members.join(volume, "root").select(F.col("rep.id").alias("rid"), F.col("rep.key").alias("rkey"), "cls", "root", "chunks")
-    full = text.withColumn("key", F.xxhash64("text")).join(chosen, F.col("id").eqNullSafe(F.col("rid")) & (F.col("key") == F.col("rkey")))
+    # a merge join at any size: how much is shuffled follows the input evenly
+    full = text.withColumn("key", F.xxhash64("text")).join(chosen.hint("merge"), F.col("id").eqNullSafe(F.col("rid")) & (F.col("key") == F.col("rkey")))
 
     def with_sets(batches):
         import pyarrow as pa

@@ -55,21 +55,17 @@ def partitions(spark: SparkSession) -> int:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node that it can reach.
 
-    Alternates the large-star and small-star steps, each cut by a table in the shared folder, until the edges stay
-    the same. Self loops and repeated edges are fine; no edges give no rows. A centre with very many neighbours is
+    Alternates the large-star and small-star steps, each cut by a table in the shared folder, until only
+    stars are left. Self loops and repeated edges are fine; no edges give no rows. A centre with very many neighbours is
     reduced by a partial minimum, and only its own edges meet it in a join that Spark may split.
     """
 
     def directed(e: DataFrame) -> DataFrame:
         return e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return r[0], r[1]
-
     e = staged(directed(edges), "cc")
-    before = mark(e)
-    while before[0]:
+    # stars alone are left once no node is both an end and a centre
+    while e.join(e.select(F.col("b").alias("c")), F.col("a") == F.col("c"), "left_semi").limit(1).count():
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: every larger neighbour of a moves to the smallest of a's neighbourhood
@@ -79,10 +75,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         e = staged(directed(small), "cc")
-        now = mark(e)
-        if now == before:
-            break
-        before = now
     return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
