@@ -1,10 +1,12 @@
 """The digests of the contract against plain Python, on a small table and on odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from veilspark.llm import media, ngram_join, pii, quality, secrets, sharding, token_counts, token_files
@@ -69,6 +71,19 @@ def test_components_in_chunks(spark, sf):
     assert bag(map(tuple, got)) == bag(components(rows_of(docs)))
 
 
+def test_components_with_hot_shingles(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    passage = [word() for _ in range(40)]
+    rows = [(d, " ".join([word() for _ in range(rng.randint(1, 30))] + passage[: rng.randint(20, 40)])) for d in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    prefixes = {d: np.array(x, np.uint64) for d, x in enumerate([[1, 2], [1, 3], [1, 4], [1, 5], [6]])}
+    assert np.frombuffer(ngram_join._frequent(prefixes), np.uint64).tolist() == [1, 4]
+    for hot_classes in (1, 30, 10**9):
+        got = ngram_join.ngram_components(docs, hot_classes=hot_classes).select("doc_id", "n_shingles", "component_id").collect()
+        assert bag(map(tuple, got)) == bag(components(rows))
+
+
 def test_one_row_of_each_component(odd):
     kept = rows_of(ngram_join.without_near_duplicates(odd))
     rows = [(d, t, n, c) for (d, t), (_, n, c) in zip(rows_of(odd), components(rows_of(odd)), strict=True)]

@@ -5,9 +5,11 @@ Each text is a set of shingle hashes in one global order (ascending hash). The j
 1. Every text gives its set size and a fingerprint of its set; equal sets are one class from here on.
 2. A link needs an overlap of at least t of the larger set, so two linked sets share shingles among the first
    (1 - t) of each; here a slack of g more is taken, which then must hold several shared ones. These prefixes, as
-   packed arrays, meet by shingle. A class with too few shared shingles is linked with nothing. Of the others, each
-   keeps its shared shingles but the most frequent ones that it could do without, and classes that meet at one of
-   those are candidates of each other. (All these filters lose no link.)
+   packed arrays, meet by shingle. The most frequent shingles, which step 1 counts in each of its batches, don't meet:
+   they count as shared, come last in the order of frequency and are dealt by class. A class with too few shared
+   shingles is linked with nothing. Of the others, each keeps its shared shingles but the most frequent ones that it
+   could do without, and classes that meet at one of those are candidates of each other. (All these filters lose no
+   link.)
 3. The connected parts of the candidates are the units of the exact join. A unit's sets, ordered by how few of them have
    a shingle, go in a prefix tree whose nodes are runs of shingles; a probe walks it level by level, counts the overlap of each node once for all
    sets below it, and leaves the sets that can't reach the needed overlap with the rest of either set. What a probe
@@ -16,7 +18,9 @@ Each text is a set of shingle hashes in one global order (ascending hash). The j
 4. The links' connected components are the result.
 
 Memory of a task: one shuffle partition of packed prefixes, or one unit (UNIT_SHINGLES). The classes that share one
-shingle meet in a task as packed ids (20 bytes each); that list is the longest thing that follows a frequent shingle.
+shingle meet in a task as packed ids (20 bytes each); a shingle that a batch of rows has in one of BATCH_SHARE prefix
+entries, and all batches together HOT_CLASSES times, isn't met that way, so that no task has to hold its classes. Which ones
+these are (at most HOT_SHINGLES, known to every task) changes what is shuffled where, and never the result.
 Hashes have 64 bits: two different shingles or sets count as equal with a probability of about 2^-64 a pair.
 
 Cases: a null or empty text, or one of white space, has no shingles and is linked with nothing, not even with its like;
@@ -38,6 +42,12 @@ from veilspark.llm.shared import connected_components, partitions, shared_dir, s
 UNIT_SHINGLES = 4_000_000
 #: Slack of the prefixes, as a part of the set.
 SLACK = 0.15
+#: Shingles that are dealt by class: those in one of BATCH_SHARE prefix entries of a batch (at least 4 times) and
+#: HOT_CLASSES times in all of these counts, the HOT_SHINGLES most frequent of them.
+BATCH_SHARE = 4096
+HOT_CLASSES = 2000
+HOT_SHINGLES = 4096
+_HOT_ORDER = 1 << 48
 _FLUSH = 400_000
 
 
@@ -50,7 +60,39 @@ def _slack(n):
     return np.maximum(1, np.ceil(np.asarray(n) * SLACK)).astype(np.int64)
 
 
-def _prefix_rows(batches, size: int, num: int, den: int, pieces: int) -> Iterator:
+def _width(n: int, num: int, den: int) -> int:
+    """How many of a set's shingles are its prefix."""
+    return min(n, n - _need(n, num, den) + int(_slack(n)))
+
+
+def _frequent(prefixes: dict[int, np.ndarray]) -> bytes | None:
+    """The shingles that many prefixes of a batch's distinct sets have, and how many do: packed, or None."""
+    flat = np.concatenate(list(prefixes.values()))
+    tok, k = np.unique(flat, return_counts=True)
+    many = k >= max(4, len(flat) / BATCH_SHARE)
+    return np.concatenate([tok[many], k[many].astype(np.uint64)]).tobytes() if many.any() else None
+
+
+def _frequent_rows(batches) -> Iterator:
+    """Unpacks what _frequent() packed: (shingle, count)."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for x in batch.column(0):
+            got = np.frombuffer(x.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(got[: len(got) // 2]), pa.array(got[len(got) // 2 :])], ["tok", "k"])
+
+
+def _hot_order(tok: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each shingle its place in the order of frequency if it is hot, else 0."""
+    names, order = hot
+    if not len(names):
+        return np.zeros(len(tok), np.int64)
+    at = np.minimum(np.searchsorted(names, tok), len(names) - 1)
+    return np.where(names[at] == tok, order[at], 0)
+
+
+def _prefix_rows(batches, size: int, num: int, den: int, pieces: int, hot: tuple[np.ndarray, np.ndarray]) -> Iterator:
     """The packed prefixes: rows (piece, shingles, classes, least count of shared shingles)."""
     import pyarrow as pa
 
@@ -59,7 +101,8 @@ def _prefix_rows(batches, size: int, num: int, den: int, pieces: int) -> Iterato
 
     def flush():
         tok, cls, low = (np.concatenate(x) for x in zip(*held, strict=True))
-        piece = ((tok >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)).astype(np.int32)
+        by = np.where(_hot_order(tok, hot) > 0, cls, tok)
+        piece = ((by >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)).astype(np.int32)
         order = np.argsort(piece, kind="stable")
         piece, tok, cls, low = piece[order], tok[order], cls[order], low[order]
         cuts = np.flatnonzero(np.diff(piece, prepend=-1, append=-1))
@@ -75,7 +118,7 @@ def _prefix_rows(batches, size: int, num: int, den: int, pieces: int) -> Iterato
                 if not n or p in seen:
                     continue
                 seen.add(p)
-                width = min(n, n - _need(n, num, den) + int(_slack(n)))
+                width = _width(n, num, den)
                 held.append((s[:width], np.full(width, p, np.uint64), np.full(width, int(_slack(_need(n, num, den))), np.int32)))
                 count += width
             if count >= _FLUSH:
@@ -94,8 +137,9 @@ def _unpacked(batches, *kinds) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.zeros(0, kind) for p, kind in zip(parts, kinds, strict=True)]
 
 
-def _shared_rows(batches) -> Iterator:
-    """Of a partition of packed prefixes, the shingles that two classes or more have: (class, shingle, classes, low)."""
+def _shared_rows(batches, hot: tuple[np.ndarray, np.ndarray]) -> Iterator:
+    """Of a partition of packed prefixes, the shingles that two classes or more have, and the hot ones:
+    (class, shingle, classes, low)."""
     import pyarrow as pa
 
     tok, cls, low = _unpacked(batches, np.uint64, np.uint64, np.int32)
@@ -108,7 +152,8 @@ def _shared_rows(batches) -> Iterator:
     tok, cls, low = tok[new], cls[new], low[new]
     heads = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
     sizes = np.diff(np.append(heads, len(tok)))
-    df = np.repeat(sizes, sizes)
+    order = _hot_order(tok, hot)
+    df = np.where(order > 0, order, np.repeat(sizes, sizes))
     keep = df > 1
     out = [cls[keep].view(np.int64), tok[keep].view(np.int64), df[keep], low[keep]]
     for i in range(0, len(out[0]), 100_000):
@@ -284,7 +329,7 @@ def _unit_rows(batches, num: int, den: int) -> Iterator:
         yield done(cls, sets)
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: tuple[int, int] = (3, 4), unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: tuple[int, int] = (3, 4), unit_shingles: int = UNIT_SHINGLES, hot_classes: int = HOT_CLASSES) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, class (fingerprint of the set), component_id.
 
     Two texts link when den * |A and B| >= num * |A or B| for threshold (num, den). See the module for the method and
@@ -300,19 +345,33 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         import pyarrow as pa
 
         for batch in batches:
-            n, prints = [], []
+            n, prints, often, held, count = [], [], [], {}, 0
             for _, sets, fp in shingle_sets(batch.column(1), size):
                 n += [len(s) for s in sets]
                 prints.append(fp.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.concatenate(prints) if prints else np.zeros(0, np.int64)), batch.column(2)], ["id", "n", "cls", "key"])
+                for s, p in zip(sets, prints[-1].tolist(), strict=True):
+                    held[p] = s[: _width(len(s), num, den)].copy()
+                    count += len(held[p])
+                often += [None] * len(sets)
+                if count >= _FLUSH:
+                    often[-1], held, count = _frequent(held), {}, 0
+            cls = np.concatenate(prints) if prints else np.zeros(0, np.int64)
+            if count:
+                often[-1] = _frequent(held)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls), batch.column(2), pa.array(often, pa.binary())], ["id", "n", "cls", "key", "often"])
 
     kind = dict(text.dtypes)["id"]
-    rows = staged(text.withColumn("key", F.xxhash64("text")).mapInArrow(described, f"id {kind}, n long, cls long, key long"), "sets")
+    described_rows = staged(text.withColumn("key", F.xxhash64("text")).mapInArrow(described, f"id {kind}, n long, cls long, key long, often binary"), "sets")
+    rows = described_rows.drop("often")
+    often = described_rows.select("often").filter("often is not null").mapInArrow(_frequent_rows, "tok long, k long")
+    often = often.groupBy("tok").agg(F.sum("k").alias("k")).filter(F.col("k") >= hot_classes).orderBy(F.desc("k"), "tok").limit(HOT_SHINGLES)
+    found = sorted((r.tok % (1 << 64), _HOT_ORDER + r.k) for r in often.collect())
+    hot = (np.array([t for t, _ in found], np.uint64), np.array([k for _, k in found], np.int64))
     classes = rows.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min("id").alias("least"), F.min(F.struct("id", "key")).alias("rep"))
 
     n_parts = partitions(spark)
-    prefixes = text.select("text").mapInArrow(lambda b: _prefix_rows(b, size, num, den, pieces), "piece int, tok binary, cls binary, low binary")
-    shared = prefixes.repartition(n_parts, "piece").mapInArrow(_shared_rows, "cls long, tok long, df long, low int")
+    prefixes = text.select("text").mapInArrow(lambda b: _prefix_rows(b, size, num, den, pieces, hot), "piece int, tok binary, cls binary, low binary")
+    shared = prefixes.repartition(n_parts, "piece").mapInArrow(lambda b: _shared_rows(b, hot), "cls long, tok long, df long, low int")
     met = staged(shared.repartition(n_parts, "cls").mapInArrow(_candidate_rows, "kind int, a long, b long"), "met")
     across = met.filter("kind = 1").groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("bs")).filter("size(bs) > 1")
     across = across.select(F.explode("bs").alias("a"), F.col("m").alias("b"))
