@@ -195,6 +195,14 @@ def test_private_data(spark, docs):
     assert clean[1002].startswith("write to [EMAIL_LIKE] or call")
 
 
+def test_cards_with_every_digit_apart(spark):
+    digits = "4539148803436467"
+    rows = [(k, f"card {mark.join(digits)} end") for k, mark in enumerate((" ", "-", "/", ". "))]
+    got = {r.doc_id: r.spans for r in pii.pii_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [[f"{s.kind}:{s.start}:{s.end}" for s in got[k] if s.kind in pii.KINDS] for k, _ in rows] == [private(t) for _, t in rows] == [["card:5:36"], ["card:5:36"], [], []]
+    assert [[f"{s.kind}:{s.start}:{s.end}" for s in got[k] if s.kind == "card_like"] for k in (2, 3)] == [["card_like:5:36"], ["card_like:5:51"]]
+
+
 def secret_base(text):
     text, out = text or "", []
     a = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)

@@ -31,13 +31,13 @@ BASE = {
     "email": (r"@", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": (r"[0-9]\.[0-9]", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     # the possessive form finds the same runs as the greedy one, of those with 16 digits or more
-    "card": (r"[0-9][\x20-]?[0-9]{2}", r"[0-9](?:[\x20-]?[0-9]){15,}+"),
+    "card": (r"[0-9][\x20-]?[0-9]", r"[0-9](?:[\x20-]?[0-9]){15,}+"),
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 LOOSE = {
     "email_like": (r"[(\[]at[)\]]", r"[A-Za-z0-9._%+-]+\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z0-9-]+)+"),
     "ip_like": (r"[0-9]\x20?\[?\.\]?\x20?[0-9]", r"[0-9]{1,3}(?:\x20?\[?\.\]?\x20?[0-9]{1,3}){3}"),
-    "card_like": (r"[0-9][\x20./_-]{0,2}[0-9]{2}", r"[0-9](?:[\x20./_-]{0,2}[0-9]){12,18}+"),
+    "card_like": (r"[0-9][\x20./_-]{0,2}[0-9]", r"[0-9](?:[\x20./_-]{0,2}[0-9]){12,18}+"),
     "phone_like": (r"[0-9][)\x20./-]", r"\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-][0-9]{3,4}(?:[\x20./-][0-9]{2,4})?"),
 }
 CONTEXT = {
