@@ -194,6 +194,23 @@ def test_packing(spark, sf, odd, empty, table):
         assert numbers == list(range(len(numbers)))
 
 
+def test_packing_pads_least_over_exact_lengths(spark):
+    text = lambda n: "w " * n
+    docs = spark.createDataFrame([(k, text(n)) for k, n in enumerate([1001] * 8 + [2730] * 6)], "doc_id long, text string")
+    got = packing.packed(docs, n_buckets=2, token_budget=8192).collect()
+    assert {(r.length, r.padded_length) for r in got} == {(1001, 1001), (2730, 2730)}
+    assert len({r.batch for r in got if r.length == 1001}) == 1 and len({r.batch for r in got if r.length == 2730}) == 2
+
+    rng = np.random.default_rng(8)
+    sizes = np.concatenate([rng.integers(0, 4000, 90), [3001] * 20])
+    docs = spark.createDataFrame([(k, text(int(n))) for k, n in enumerate(sizes)], "doc_id long, text string")
+    xs, ns = np.unique(sizes, return_counts=True)
+    best = [0] + [math.inf] * len(xs)
+    for _ in range(5):
+        best = [0] + [min(best[i] + sum(int(n) * int(xs[j] - x) for x, n in zip(xs[i : j + 1], ns[i : j + 1], strict=True)) for i in range(j + 1)) for j in range(len(xs))]
+    assert sum(r.padded_length - r.length for r in packing.packed(docs, n_buckets=5).collect()) == best[-1]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as cp
 

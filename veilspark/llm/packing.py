@@ -1,13 +1,12 @@
 """Packing in optimal length buckets.
 
-One histogram of all lengths (words) gives at most 128 values an octave; dynamic programming over it chooses the
-n_buckets upper lengths with the least padding in all. A bucket's batches hold as many documents as the token budget
-has room for when each is padded to the bucket's length (one, if none fits). Within a bucket documents go by a hash;
-numbering is by PARTS parts of the hash order with an offset for each, so that no task gets a bucket.
+One histogram of all lengths (words) has a row for each length that occurs; dynamic programming over it chooses the
+n_buckets upper lengths with the least padding in all, exactly. A bucket's batches hold as many documents as the token
+budget has room for when each is padded to the bucket's length (one, if none fits). Within a bucket documents go by a
+hash; numbering is by PARTS parts of the hash order with an offset for each, so that no task gets a bucket.
 
-The histogram is bounded by the logarithm of the longest text (some 128 rows an octave), and so is what the driver gets.
-Candidate lengths above 128 are rounded up within their octave (by less than a 64th), the same way at any size of input;
-among these the result is the best one.
+The driver gets the histogram as two numbers a length. D different lengths are of texts with D * (D - 1) / 2 words at
+least, so that D grows with the square root of the input at most: 100,000 for five thousand million words.
 
 Cases: null and empty texts have length 0 and form documents like others; repeated rows are rows of their own; a text
 longer than the budget has batches of one; null ids are kept; an empty table gives no rows. Extra columns are not read.
@@ -27,30 +26,34 @@ BUCKETS = 16
 TOKEN_BUDGET = 8192
 
 
-def rounded_up(n):
-    """n, or for n > 128 the next multiple of a 128th of its octave's start."""
-    shift = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))).cast("int") - 7)
-    step = F.pow(F.lit(2.0), shift).cast("long")
-    return (F.floor((n + step - 1) / step) * step).cast("long")
-
-
 def best_edges(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, k: int) -> list[int]:
     """The at most k upper lengths with the least padding: lengths ascend, counts and sums are of their documents."""
     v = len(lengths)
     if not v:
         return []
-    c = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
-    s = np.concatenate(([0], np.cumsum(sums))).astype(np.int64)
-    best = np.full(v + 1, np.iinfo(np.int64).max // 4)
-    best[0] = 0
+    c = [0, *np.cumsum(counts, dtype=np.int64).tolist()]
+    s = [0, *np.cumsum(sums, dtype=np.int64).tolist()]
+    xs = np.asarray(lengths).tolist()
+    best = [0] + [None] * v  # with no bucket only no length is covered
     back = []
     for _ in range(min(k, v)):
-        # cost of ending a bucket at j after one that ended at i
-        cost = best[None, :] + lengths[:, None] * (c[1:, None] - c[None, :]) - (s[1:, None] - s[None, :])
-        cost[np.arange(v)[:, None] < np.arange(v + 1)[None, :]] = np.iinfo(np.int64).max // 2
-        at = cost.argmin(axis=1)
-        new = np.concatenate(([0], cost[np.arange(v), at]))
-        back.append(np.concatenate(([0], at)))
+        # ending a bucket at x = xs[j] after one that ended before i costs best[i] + s[i] - c[i] * x, plus what depends
+        # on j alone: the least of lines in x, whose slopes fall with i while x grows, so that one pass finds it
+        new, at = [0] * (v + 1), np.zeros(v + 1, np.int32)
+        hull: list[tuple[int, int, int]] = []  # slope, value at 0, i
+        head = 0
+        for j in range(v):
+            if best[j] is not None:
+                m, b = -c[j], best[j] + s[j]
+                while len(hull) - head > 1 and (b - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - m):
+                    hull.pop()
+                hull.append((m, b, j))
+            x = xs[j]
+            while len(hull) - head > 1 and hull[head + 1][0] * x + hull[head + 1][1] < hull[head][0] * x + hull[head][1]:
+                head += 1
+            new[j + 1] = hull[head][0] * x + hull[head][1] + x * c[j + 1] - s[j + 1]
+            at[j + 1] = hull[head][2]
+        back.append(at)
         best = new
     edges, j = [], v
     for at in reversed(back):
@@ -65,8 +68,9 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_bu
     rows = docs.select(F.col(id_col).alias("id"), word_count(text_col).alias("length"), F.monotonically_increasing_id().alias("r"))
     rows = rows.withColumn("h", F.xxhash64("id", "r"))
     rows = staged(rows.withColumn("part", (F.shiftright("h", 64 - 10) + PARTS // 2).cast("int")), "pack")
-    found = rows.groupBy(rounded_up(F.col("length")).alias("e")).agg(F.count("*").alias("n"), F.sum("length").alias("t")).orderBy("e").collect()
-    edges = best_edges(np.array([x["e"] for x in found], np.int64), np.array([x["n"] for x in found]), np.array([x["t"] for x in found]), n_buckets) or [0]
+    found = rows.groupBy("length").agg(F.count("*").alias("n")).orderBy("length").toArrow()
+    lengths, counts = (found[c].to_numpy() for c in ("length", "n"))
+    edges = best_edges(lengths, counts, lengths * counts, n_buckets) or [0]
     bucket, size = F.lit(len(edges) - 1), F.lit(edges[-1])
     for k in reversed(range(len(edges) - 1)):
         bucket = F.when(F.col("length") <= edges[k], k).otherwise(bucket)
