@@ -172,3 +172,16 @@ def test_batch(spark):
     assert {r.masked_text for r in out.collect()} == {"联系人：[PERSON_1]，男，电话[PHONE_1]。", "周岩已付款。"} or m.count() == 2
     with pytest.raises(ValueError):
         batch.refined(items, [("other", "x")], mapping, [("other", "x")])
+
+
+def test_pages_are_routed_by_their_whole_text(spark, tmp_path):
+    from veilspark.plans import catalogue
+
+    # (page_id, html): 300 and 170 were cut to nothing by scan_route and scanned_classifier
+    pages = [(300, "x" * 1000), (170, "x" * 1000), (2, ""), (4, "x" * 199), (6, " " + "x" * 200 + "\n"), (1, "x" * 49), (3, "x" * 50), (5, " " * 300)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    q = catalogue.queries()
+    routes = {r.page_id: r.route for r in q["scan_route_whole"](spark, str(tmp_path)).collect()}
+    assert routes == {300: "native", 170: "native", 2: "ocr", 4: "ocr", 6: "native", 1: "ocr", 3: "native", 5: "ocr"}
+    kinds = {r.doc_id: r.is_scanned for r in q["scanned_classifier_whole"](spark, str(tmp_path)).collect()}
+    assert kinds == {20: False, 10: False, 2: True, 6: False, 1: True, 5: True}

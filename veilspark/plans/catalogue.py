@@ -277,6 +277,18 @@ def scanned_classifier(spark, sf):
     return files.scanned(p)
 
 
+@query("SELECT page_id, CASE WHEN n >= 200 THEN 'native' WHEN n < 50 OR page_id % 2 = 0 THEN 'ocr' ELSE 'native' END AS route FROM (SELECT page_id, length(regexp_replace(html, '^\\s+|\\s+$', '', 'g')) AS n FROM pages)")
+def scan_route_whole(spark, sf):
+    return _table(spark, sf, "pages").select("page_id", normalize.page_route(F.col("html"), F.col("page_id") % 2 == 0).alias("route"))
+
+
+@query("SELECT page_id % 40 AS doc_id, sum(length(trim(html))) < 80 * count(*) AS is_scanned FROM pages WHERE page_id % 5 < 3 GROUP BY 1")
+def scanned_classifier_whole(spark, sf):
+    from veilspark.sources import files
+
+    return files.scanned(_table(spark, sf, "pages").select((F.col("page_id") % 40).alias("doc_id"), (F.col("page_id") % 5 + 1).alias("page_num"), F.col("html").alias("native_text")))
+
+
 @query("""SELECT doc_id, CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN greatest(8.0, (doc_id % 9) * 13.0 + 3) WHEN 1 THEN greatest(2.0, (doc_id % 9) * CAST(0.8 AS DOUBLE) + 1.5) WHEN 2 THEN greatest(2.0, n_chars / 100.0) ELSE greatest(1.0, n_chars / 200.0) END AS eta FROM documents""")
 def eta(spark, sf):
     k = F.col("doc_id") % 4
