@@ -174,6 +174,13 @@ def test_batch(spark):
         batch.refined(items, [("other", "x")], mapping, [("other", "x")])
 
 
+def test_spans_are_extended_to_the_end_of_their_characters(spark):
+    tails = {"secret": "aB3_" * 100, "website": "/p-1" * 75, "phone": "12 34" * 60, "bank_account": "5-6" * 90}
+    rows = [(f"见 9x{tail}，后", [(kind, 2, "9x", 0.9)]) for kind, tail in tails.items()]
+    got = spark.createDataFrame(rows, f"text string, raw array<{models.RAW}>").select(models.extended(F.col("raw"), F.col("text")).alias("s")).collect()
+    assert [r.s[0].txt for r in got] == ["9x" + tail for tail in tails.values()]
+
+
 def test_pages_are_routed_by_their_whole_text(spark, tmp_path):
     from veilspark.plans import catalogue
 

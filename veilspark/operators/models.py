@@ -77,7 +77,7 @@ def extended(spans: Column, text: Column) -> Column:
     stop = lambda s: s["pos"] + F.length(s["txt"])
 
     def one(s):
-        rest = F.substring(text, stop(s) + 1, F.lit(200))
+        rest = F.substring(text, stop(s) + 1, F.length(text))
         more = F.lit("")
         for kind, chars in sets.items():
             more = F.when(s["label"] == kind, F.regexp_extract(rest, f"^{chars}+", 0)).otherwise(more)
