@@ -107,6 +107,20 @@ def test_markov_models_on_held_out_strings():
     assert not any(models.random(s) for s, y in held if not y)
 
 
+def test_markov_models_on_strings_without_digits(spark):
+    import random
+    import string
+
+    rng = random.Random(21)
+    models = secrets.MarkovModels(secrets.labelled_strings())
+    keys = ["".join(rng.choices(string.ascii_letters, k=rng.randint(20, 64))) for _ in range(500)]
+    names = [s for s, y in secrets.labelled_strings(6000, seed=500) if not y and len(s) >= 20 and s.lower() != s != s.upper() and not any(c.isdigit() for c in s)]
+    assert sum(map(models.random, keys)) >= 495 and len(names) > 300 and not any(map(models.random, names))
+    docs = spark.createDataFrame([(1, f"key {keys[0]} is here, getUserNameFromListOfTables is not")], "doc_id long, text string")
+    assert [[(s.kind, s.start, s.end) for s in r.spans] for r in secrets.secret_spans(docs).collect()] == [[("markov", 4, 4 + len(keys[0]))]]
+    assert secrets.redact_secrets(docs).first().text == "key [SECRET] is here, getUserNameFromListOfTables is not"
+
+
 def test_boosted_candidates_on_held_out_cases(spark):
     from pyspark.sql import functions as F
 

@@ -87,7 +87,7 @@ class MarkovModels:
 
     def random(self, s: str) -> bool:
         kinds = any(c.isdigit() for c in s) + any(c.islower() for c in s) + any(c.isupper() for c in s)
-        return kinds >= 2 and any(c.isdigit() for c in s) and self.score(s) > self.threshold
+        return kinds >= 2 and self.score(s) > self.threshold
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
