@@ -44,6 +44,25 @@ def test_png_round_trip_and_damage(kind, rows):
         media.read_png(data[:-4])
 
 
+def test_media_rows_are_filtered(spark):
+    import struct
+    import zlib
+
+    texts = ["The quick brown fox jumps over the lazy dog. " * 20, "".join(f"{k:064d}" for k in range(9)), "日本語 テキスト 😀 " * 30, "", "x" * 64 + "\x00" * 64]
+    media_rows = media.with_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    types = set()
+    for r in media_rows.collect():
+        data = bytes(r.media)
+        assert media.read_png(data).tobytes() == media.padded(texts[r.doc_id].encode())
+        at, packed = 8, b""
+        while at < len(data):
+            (n,) = struct.unpack_from(">I", data, at)
+            packed += data[at + 8 : at + 8 + n] if data[at + 4 : at + 8] == b"IDAT" else b""
+            at += 12 + n
+        types |= set(zlib.decompress(packed)[:: media.WIDTH + 1])
+    assert types == {0, 1, 2}
+
+
 def test_hash_is_stable_under_small_changes():
     img = np.random.default_rng(6).integers(0, 256, (64, 64), dtype=np.uint8)
     near = img.copy()
