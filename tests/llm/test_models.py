@@ -197,6 +197,25 @@ def test_mixing(spark, sf, odd, empty, table, how):
         assert out.select("doc_id", "text").distinct().count() == docs.select("doc_id", "text").distinct().count()
 
 
+def test_mixing_more_sources_than_are_broadcast(spark, odd, monkeypatch):
+    run = lambda: [sorted(map(repr, df.collect())) for plan in [mixing.mixing_plan(odd, entropy=1.0, budget=12_000, max_repeats=None)] for df in (plan, mixing.mixed(odd, plan, block_tokens=1000))]
+    want = run()
+    for n in (1, 2):
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", n)
+        assert run() == want
+
+
+def test_mixing_with_a_source_for_each_document(spark):
+    n = 100_500
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('d', id) AS source", "repeat('w ', CAST(1 + id % 7 AS INT)) AS text")
+    docs = docs.union(docs.selectExpr("doc_id + 200000", "'all'", "text").limit(1000))
+    plan = mixing.mixing_plan(docs, max_repeats=2.0)
+    first = plan.selectExpr("count(*)", "min(target / tokens)", "max(target / tokens)").first()
+    assert first[0] == n + 1 and first[1] == 1.0 and 1.5 < first[2] <= 2.0
+    got = mixing.mixed(docs, plan)
+    assert got.select("doc_id").distinct().count() == n + 1000 and got.groupBy("doc_id").count().filter("count > 2").isEmpty()
+
+
 def test_best_edges_against_all_choices():
     from itertools import combinations
 

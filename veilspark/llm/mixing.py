@@ -14,18 +14,26 @@ whole run, so that each block holds the sources in about the target weights; wit
 
 Cases: null is a source of its own; null and empty texts have no tokens and run with their source's full passes; a
 source without any tokens runs once; repeated rows are rows of their own (with one id: in or out together); an empty
-table gives no rows. More than MAX_SOURCES sources raise ValueError: their table is kept in one row. Extra columns are
-kept by mixed() unless named like one of its working columns, which start with "_m_".
+table gives no rows. Extra columns are kept by mixed() unless named like one of its working columns, which start with
+"_m_".
+
+Sources may be as many as documents. The exponent is sought on the driver from a histogram of their tokens, a row for
+each different number: D of these are of D * (D - 1) / 2 tokens at least, so that D grows with the square root of the
+input at most. Up to BROADCAST_SOURCES sources are broadcast to the rows; of more, those with so large a part of the rows
+that there can't be more of them, and the others meet their rows in a shuffle.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm.shared import staged
 
-MAX_SOURCES = 100_000
+BROADCAST_SOURCES = 100_000
 BLOCKS = 4096
 STEPS = 60
 
@@ -43,43 +51,55 @@ def _block(h):
     return (F.shiftright(h, 64 - 12) + BLOCKS // 2).cast("int")
 
 
+def _exponent(p: np.ndarray, n: np.ndarray, total: float, max_repeats: float | None, entropy: float | None, budget: int | None) -> float:
+    """The exponent for n sources of each share in p."""
+    norm = lambda a: float((n * p**a).sum())
+
+    def bits(a):  # -sum w log w with w = p^a / z
+        return math.log2(norm(a)) - a * float((n * p**a * np.log2(p)).sum()) / norm(a)
+
+    def most_runs(a):
+        ratio = p ** (a - 1.0)
+        return ratio.max() / (ratio.min() if budget is None else norm(a) * total / budget)
+
+    lo, hi = 0.0, 1.0
+    for _ in range(STEPS):
+        mid = (lo + hi) / 2
+        up = bits(mid) >= entropy if entropy is not None else max_repeats is not None and most_runs(mid) > max_repeats
+        lo, hi = (mid, hi) if up else (lo, mid)
+    return lo if entropy is not None else hi
+
+
 def temperature_weights(totals: DataFrame, max_repeats: float | None = 2.0, entropy: float | None = None, budget: int | None = None) -> DataFrame:
     """totals (source, tokens, docs) with a row for each source, to: source, tokens, docs, exponent, weight, target.
 
-    entropy: in bits; it's the target if given. One row holds all sources while the exponent is sought.
+    entropy: in bits; it's the target if given.
     """
-    if totals.count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    row = totals.agg(F.array_sort(F.collect_list(F.struct("source", "tokens", "docs"))).alias("s"))
-    add = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x))
-    row = row.withColumn("p", F.transform(F.filter("s", lambda x: x["tokens"] > 0), lambda x: x["tokens"].cast("double")))
-    row = row.withColumn("total", add(F.col("p"), lambda x: x)).withColumn("p", F.transform("p", lambda x: x / F.col("total"))).filter("size(s) > 0")
-    norm = lambda a: add(F.col("p"), lambda x: F.pow(x, a))
+    found = totals.filter("tokens > 0").groupBy("tokens").agg(F.count("*").alias("n")).orderBy("tokens").toArrow()
+    tokens, n = (found[c].to_numpy().astype(float) for c in ("tokens", "n"))
+    total, a, z, floor = float((tokens * n).sum()), 1.0, 1.0, 1.0
+    if len(tokens):
+        p = tokens / total
+        a = _exponent(p, n, total, max_repeats, entropy, budget)
+        z, floor = float((n * p**a).sum()), float((p ** (a - 1.0)).min())
+    power = F.pow(F.col("tokens") / F.lit(total or 1.0), F.lit(a))
+    weight = F.when(F.col("tokens") > 0, power / F.lit(z)).otherwise(F.lit(0.0))
+    whole = total * z / floor if budget is None else float(budget)
+    target = F.when(F.col("tokens") > 0, F.floor(F.col("weight") * F.lit(whole))).otherwise(F.lit(0))
+    out = totals.select("source", "tokens", "docs", F.lit(a).alias("exponent"), weight.alias("weight"))
+    # without a budget, rounding must not cut the source that runs exactly once
+    return out.withColumn("target", F.greatest(target, F.col("tokens") if budget is None else F.lit(0)).cast("long"))
 
-    def bits(a):  # -sum w log w with w = p^a / z
-        return F.log2(norm(a)) - a * add(F.col("p"), lambda x: F.pow(x, a) * F.log2(x)) / norm(a)
 
-    def most_runs(a):
-        ratio = F.transform("p", lambda x: F.pow(x, a - 1.0))
-        least = F.array_min(ratio) if budget is None else norm(a) * F.col("total") / F.lit(float(budget))
-        return F.array_max(ratio) / least
-
-    def halve(acc, _):
-        mid = (acc["lo"] + acc["hi"]) / 2
-        up = bits(mid) >= entropy if entropy is not None else most_runs(mid) > max_repeats
-        return F.when(up, F.struct(mid.alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))
-
-    ends = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), ends, halve, lambda acc: acc["lo" if entropy is not None else "hi"])
-    row = row.withColumn("a", F.when(F.size("p") > 0, found).otherwise(F.lit(1.0)))
-    row = row.withColumn("z", norm(F.col("a"))).withColumn("floor", F.array_min(F.transform("p", lambda x: F.pow(x, F.col("a") - 1.0))))
-    out = row.select("a", "z", "total", "floor", F.explode("s").alias("s")).withColumn("share", F.col("s.tokens") / F.col("total"))
-    power = F.when(F.col("s.tokens") > 0, F.pow("share", F.col("a"))).otherwise(F.lit(0.0))
-    out = out.withColumn("weight", F.when(F.col("s.tokens") > 0, power / F.col("z")).otherwise(F.lit(0.0)))
-    whole = F.col("total") * F.col("z") / F.col("floor") if budget is None else F.lit(float(budget))
-    target = F.when(F.col("s.tokens") > 0, F.floor(F.col("weight") * whole)).otherwise(F.lit(0))
-    # without a budget, rounding must not cut the source that runs exactly once
-    return out.select("s.source", "s.tokens", "s.docs", F.col("a").alias("exponent"), "weight", F.greatest(target, F.col("s.tokens") if budget is None else F.lit(0)).cast("long").alias("target"))
+def _with_sources(df: DataFrame, source_col: str, table: DataFrame, key: str, docs: str, n: int, all_docs: int) -> DataFrame:
+    """df's rows with those of table, which has one for each of some sources (named key) with its number of rows (named
+    docs): n sources and all_docs rows are there in all."""
+    same = F.col(source_col).eqNullSafe(F.col(key))
+    if n <= BROADCAST_SOURCES:
+        return df.join(F.broadcast(table), same)
+    large = F.col(docs) * BROADCAST_SOURCES >= all_docs
+    rest = df.join(F.broadcast(table.filter(large).select(key)), same, "left_anti")
+    return df.join(F.broadcast(table.filter(large)), same).union(rest.join(table.filter(~large), same))
 
 
 def mixing_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
@@ -87,32 +107,33 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     part, null without one)."""
     rows = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("tokens")), "mix")
     totals = staged(rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "mix")
+    n, all_docs = totals.agg(F.count("*"), F.coalesce(F.sum("docs"), F.lit(0))).first()
     weights = temperature_weights(totals, **how)
     full = F.when(F.col("tokens") > 0, F.floor(F.col("target") / F.greatest(F.col("tokens"), F.lit(1)))).otherwise(F.lit(1)).cast("int")
     plan = staged(weights.withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("tokens")), "mix")
-    partly = plan.filter("tokens > 0 and rest > 0").select("source", "full", "rest")
-    # the number of sources is bounded and was tested
-    hashed = rows.join(F.broadcast(partly), rows["source"].eqNullSafe(partly["source"])).select(rows["source"], "full", "rest", "tokens", "id")
+    partly = plan.filter("tokens > 0 and rest > 0").select(F.col("source").alias("ps"), "full", "rest", F.col("docs").alias("pd"))
+    hashed = _with_sources(rows, "source", partly, "ps", "pd", n, all_docs).select("source", "full", "rest", "pd", "tokens", "id")
     hashed = hashed.withColumn("h", _hash("id", F.col("full"))).withColumn("block", _block(F.col("h"))).drop("id", "full")
     upto = lambda *by: F.sum("t").over(Window.partitionBy("source").orderBy(*by).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    blocks = hashed.groupBy("source", "block").agg(F.sum("tokens").alias("t"), F.max("h").alias("last"), F.first("rest").alias("rest")).withColumn("upto", upto("block"))
+    blocks = hashed.groupBy("source", "block").agg(F.sum("tokens").alias("t"), F.max("h").alias("last"), F.first("rest").alias("rest"), F.first("pd").alias("pd")).withColumn("upto", upto("block"))
     blocks = staged(blocks, "mix")
     whole = blocks.filter("upto <= rest").groupBy("source").agg(F.max("last").alias("bound"))
-    split = blocks.filter("upto > rest").groupBy("source").agg(F.min(F.struct("block", (F.col("upto") - F.col("t")).alias("before"))).alias("b"))
-    split = split.select("source", F.col("b.block").alias("sb"), F.col("b.before").alias("before"))
-    inner = hashed.join(F.broadcast(split), hashed["source"].eqNullSafe(split["source"]) & (hashed["block"] == split["sb"])).select(hashed["source"], "h", "tokens", "before", "rest")
+    split = blocks.filter("upto > rest").groupBy("source").agg(F.min(F.struct("block", (F.col("upto") - F.col("t")).alias("before"))).alias("b"), F.first("pd").alias("sd"))
+    split = split.select(F.col("source").alias("ss"), F.col("b.block").alias("sb"), F.col("b.before").alias("before"), "sd")
+    inner = _with_sources(hashed, "source", split, "ss", "sd", n, all_docs).filter("block = sb").select("source", "h", "tokens", "before", "rest")
     inner = inner.groupBy("source", "h").agg(F.sum("tokens").alias("t"), F.first("before").alias("before"), F.first("rest").alias("rest"))
     inner = inner.withColumn("upto", F.col("before") + upto("h")).filter("upto <= rest").groupBy("source").agg(F.max("h").alias("bound"))
     bounds = whole.union(inner).groupBy(F.col("source").alias("bs")).agg(F.max("bound").alias("bound"))
-    return staged(plan.join(F.broadcast(bounds), plan["source"].eqNullSafe(bounds["bs"]), "left").drop("bs", "rest"), "mix")
+    return staged(plan.join(F.broadcast(bounds) if n <= BROADCAST_SOURCES else bounds, plan["source"].eqNullSafe(bounds["bs"]), "left").drop("bs", "rest"), "mix")
 
 
 def mixed(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_tokens: int = 1 << 20) -> DataFrame:
     """docs with a row for each pass that a row takes part in, and the columns mix_pass, mix_block, mix_order."""
-    plan = plan.select(*(F.col(c).alias(f"_m_{c}") for c in ("source", "full", "bound", "target", "tokens")))
-    total = max(1, plan.agg(F.sum("_m_target")).first()[0] or 0)
+    plan = plan.select(*(F.col(c).alias(f"_m_{c}") for c in ("source", "full", "bound", "target", "tokens", "docs")))
+    total, n, all_docs = plan.agg(F.sum("_m_target"), F.count("*"), F.coalesce(F.sum("_m_docs"), F.lit(0))).first()
+    total = max(1, total or 0)
     n_blocks = max(1, -(-total // block_tokens))
-    df = docs.join(F.broadcast(plan), F.col(source_col).eqNullSafe(F.col("_m_source")))
+    df = _with_sources(docs, source_col, plan, "_m_source", "_m_docs", n, all_docs)
     also = F.coalesce(_hash(id_col, F.col("_m_full")) <= F.col("_m_bound"), F.lit(False)).cast("int")
     df = df.withColumn("_m_n", F.col("_m_full") + also).filter("_m_n > 0")
     df = df.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("_m_n") - 1)))
