@@ -122,9 +122,21 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_added_tokens_in_texts(spark):
+    """Texts that hold an added token's string, in part, across rows and beside letters, against the library itself."""
+    import pyarrow as pa
+
+    from veilspark.llm.pieces import encoder
+
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", mark, mark * 3, f"x{mark}y", "ends <|endo", "ftext|> begins", f"<|endo{mark}ftext|>", f" {mark}\n{mark} ", None, "", f"é{mark}日本 {mark}'s", "<|endoftext |> <|ENDOFTEXT|>"]
+    t = tokenizer()
+    got = [ids[per[k] : per[k + 1]].tolist() for _, ids, per, _, offs in encoder().encode(pa.array(texts, pa.string())) for k in range(len(offs) - 1)]
+    assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert got[0] == [64, 220, 50256, 275]
 
 
 def test_token_files(docs, tmp_path):
