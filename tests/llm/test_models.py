@@ -140,15 +140,99 @@ def test_markov_models_on_strings_without_digits(spark):
     assert secrets.redact_secrets(docs).first().text == "key [SECRET] is here, getUserNameFromListOfTables is not"
 
 
-def test_boosted_candidates_on_held_out_cases(spark):
+PLANTED = {
+    "email_like": ["write to maria.lopez [at] northwind [dot] org please", "contact: j_smith(at)acme-labs.com,", "kim.lee AT harbour DOT net", "Kontakt peter77{at}beispiel(dot)de", "ask ana.ruiz @ correo . es today", "mail me: bob42 <at> mailbox <dot> io"],
+    "ip_like": ["host 10[.]20[.]30[.]40 is down", "seen from 192 . 168 . 1 . 77 twice", "blocked 172(.)16(.)254(.)3", "server 8 [.] 8 [.] 4 [.] 4", "login 203[dot]0[dot]113[dot]9"],
+    "card_like": ["visa 4539/1488/0343/6467", "paid by 5500.0000.0000.0004 on", "Karte 3782_822463_10005", "card 6011 1111  1111 1117", "pan: 4539_1488 0343_6467"],
+    "phone_like": ["call (415) 555-2671 now", "Tel. 020 7946 0958", "mobile: 0171/555-0199", "my cell is 415.555.2671", "fax 312-555-0142,", "ring (0207) 946-0018 or"],
+}
+INNOCENT = ["on 2024-03-15 10:30:00 we", "ISBN 978-3-16-148410-0", "version 12.4.301.9982", "see section 3 . 2 . 1 . 4", "invoice 2024-0117-4471", "at 52.5200 13.4050", "rows 120 340 2200 410", "order 445-1234-5678", "we met at noon. Later", "serial 1234/5678/9012/3456", "score 21-101-334", "total 123.456.789", "ratio 1.5 at 2.25", "pages 101 250 1031", "id 83920174650192837"]
+
+
+#: Written after the generator and its features were settled on PLANTED, and never used to change them.
+FRESH = {
+    "email_like": ["send it to tom.hardy (AT) lakeside (DOT) com", "Mail an r.weber [at] stadtwerke.de bitte", "nina22 at fastpost dot net", "correo: luis_p{at}empresa{dot}es", "sam @ riverbank (dot) org"],
+    "ip_like": ["node 10 . 0 . 12 . 9", "ping 192[.]0[.]2[.]146", "addr 198(.)51(.)100(.)23", "from 172. 20. 10. 5", "gateway 10[dot]1[dot]1[dot]254"],
+    "card_like": ["mastercard 5105.1051.0510.5100", "CB 4970/1010/1234/5671", "4111_1111_1111_1111 exp", "amex 3714/496353/98431", "no: 6011  0009  9013  9424"],
+    "phone_like": ["phone 030 901-820 11", "cell (646) 555-0170", "dial 555.010.9988", "Tel: 0151/234-5678", "call 212 555 0188 after"],
+}
+
+
+def planted(texts, forms=PLANTED):
+    """(text, spans (kind, start, end)) with obfuscated forms in the middle of real documents; every other document gets
+    numbers that are no personal data."""
+    out, forms = [], [(k, f) for k, fs in forms.items() for f in fs]
+    for k, t in enumerate(texts):
+        cut = t.find(" ", len(t) // 2) + 1
+        kind, form = forms[k // 2 % len(forms)] if k % 2 == 0 else (None, INNOCENT[k // 2 % len(INNOCENT)])
+        out.append((t[:cut] + form + " " + t[cut:], [] if kind is None else [(kind, cut, cut + len(form))]))
+    return out
+
+
+def added_spans(spark, forms):
+    """kind -> recall, precision, planted, added; and the forms that were missed."""
     from pyspark.sql import functions as F
 
-    cases = pii.made_cases(400, seed=77)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) between 100 and 5000").orderBy("doc_id").limit(440).collect()]
+    cases = planted(texts, forms)
     df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
-    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in pii.pii_spans(df).select("doc_id", F.filter("spans", lambda s: s["kind"].isin(*pii.LIKE)).alias("spans")).collect()}
-    found = sum(any(a < e and s < b for a, b in got[k]) for k, (_, t) in enumerate(cases) for s, e in t)
-    false = sum(1 for k, (_, t) in enumerate(cases) for a, b in got[k] if not any(a < e and s < b for s, e in t))
-    assert found >= 0.6 * sum(len(t) for _, t in cases) and false <= 0.05 * max(1, found)
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.pii_spans(df).select("doc_id", F.filter("spans", lambda s: s["kind"].isin(*pii.LIKE)).alias("spans")).collect()}
+    figures, missed = {}, set()
+    for kind in pii.LIKE:
+        want = [(k, s, e) for k, (_, spans) in enumerate(cases) for name, s, e in spans if name == kind]
+        hit = sum(any(n == kind and a >= s and b <= e for n, a, b in got[k]) for k, s, e in want)
+        missed |= {cases[k][0][s:e] for k, s, e in want if not any(n == kind and a >= s and b <= e for n, a, b in got[k])}
+        made = [(k, a, b) for k in got for n, a, b in got[k] if n == kind]
+        right = sum(any(name == kind and s <= a and b <= e for name, s, e in cases[k][1]) for k, a, b in made)
+        figures[kind] = (hit / len(want), right / max(1, len(made)), len(want), len(made))
+    return figures, missed
+
+
+def test_learned_spans_in_real_documents(spark):
+    figures, missed = added_spans(spark, PLANTED)
+    assert all(r >= 0.9 and p >= 0.9 for r, p, *_ in figures.values()), (figures, missed)
+
+
+def test_learned_spans_of_fresh_forms(spark):
+    """All kinds together; the README has the figures by kind."""
+    figures, missed = added_spans(spark, FRESH)
+    print(figures, missed)
+    found = sum(r * n for r, _, n, _ in figures.values()) / sum(n for *_, n, _ in figures.values())
+    right = sum(p * m for _, p, _, m in figures.values()) / sum(m for *_, m in figures.values())
+    assert found >= 0.6 and right >= 0.9, (figures, missed)
+
+
+def test_thresholds_are_of_their_kind_and_margins_decide(spark):
+    trees, thresholds = pii.trained(spark)
+    assert set(thresholds) == set(pii.LIKE) and all(math.isfinite(v) for v in thresholds.values())
+    df = spark.createDataFrame([(1, "card 4539/1488/0343/6467 and call (415) 555-2671, a.b@c.de x")], "doc_id long, text string")
+    got = [(s.kind, s.start, s.end) for s in pii.pii_spans(df).first().spans]
+    assert [k for k, *_ in got] == ["email", "card_like", "phone_like"]
+    assert all(a[2] <= b[1] for a, b in zip(sorted(got, key=lambda x: x[1]), sorted(got, key=lambda x: x[1])[1:], strict=False))
+
+
+def test_signs_are_never_stricter_than_their_patterns():
+    import random
+    import re
+
+    rng = random.Random(4)
+    atoms = [*"0123456789", *"0123456789", " ", " ", "-", ".", "/", "_", "(", ")", "[", "]", "{", "}", "<", ">", "@", "at", "AT", "dot", "Dot", "+", "a", "b.c", "x-y"]
+    java = lambda p: p.replace("}+", "}").replace("(?i:at)", "(?:[aA][tT])").replace("(?i:dot)", "(?:[dD][oO][tT])")
+    for sign, pattern in (*pii.BASE.values(), *pii.LOOSE.values()):
+        sign, pattern, hits = re.compile(java(sign)), re.compile(java(pattern)), 0
+        for _ in range(30_000):
+            t = "".join(rng.choices(atoms, k=rng.randint(4, 30)))
+            if pattern.search(t):
+                hits += 1
+                assert sign.search(t), t
+        for spaced in ("4" + " 1" * 15, "4-" * 15 + "1", "(415) 555-2671", "j (at) b (dot) c", "1[.]2[.]3[.]4", "a@b.c", "+12345678"):
+            assert not pattern.search(spaced) or sign.search(spaced)
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"u{k}@mail.example.com 10.0.{k % 250}.{k % 199}" for k in range(20_000))
+    r = pii.pii_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).selectExpr("size(spans) as n", "element_at(spans, -1).end as e").first()
+    assert r == (40_000, len(text))
 
 
 def words(text):

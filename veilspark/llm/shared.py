@@ -2,52 +2,63 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.functions.shipping import ship
+
 #: Bytes of text that a numpy kernel works on at once (one longer text is worked on alone).
 SLAB_BYTES = 1 << 20
 
 
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable in every Python worker, wherever the driver found it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_veilspark_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="veilspark-"), "veilspark_code.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    sc.addPyFile(target)
-    sc._veilspark_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of its own for a
+    local master (tests); with another master there is no such folder, so that it raises ValueError."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="veilspark-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_STAGED: dict[str, list[str]] = {}
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet in the shared folder and reads it back."""
+    """Cuts the lineage: writes df as Parquet in the shared folder and reads it back. The table stays, as results read it,
+    until drop_staged()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_tables(spark: SparkSession) -> int:
+    """How many tables staged() has written in this application and drop_staged() has left."""
+    return len(_STAGED.get(spark.sparkContext.applicationId, []))
+
+
+def drop_staged(spark: SparkSession, first: int = 0, last: int | None = None) -> int:
+    """Deletes tables of staged() of this application, from the one numbered first up to last (all without it); says how
+    many. Nothing that reads them may run any more."""
+    paths = _STAGED.get(spark.sparkContext.applicationId, [])
+    gone = paths[first:last]
+    jvm = spark.sparkContext._jvm
+    for path in gone:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    paths[first:last] = []
+    return len(gone)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -78,6 +89,54 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+# ---- expressions on arrays -------------------------------------------------------------------------------------
+
+#: Stands around matches while a text is cut at them; a text that holds it already is cut by the pattern alone.
+MARK = "\x01"
+
+
+def running(values: Column, more=None) -> Column:
+    """Running sums of an array of numbers, in n log n steps: each step adds the value 1, 2, 4, ... places before. more: a
+    function of (value, earlier value) in place of the sum, for which the order within a run of values doesn't matter."""
+    more = more or (lambda x, y: x + y)
+    strides = F.filter(F.array(*(F.lit(1 << k) for k in range(31))), lambda d: d < F.size(values))
+    return F.aggregate(strides, values, lambda acc, d: F.transform(acc, lambda x, i: F.when(i >= d, more(x, F.get(acc, i - d))).otherwise(x)))
+
+
+def parts(text: Column, pattern: str) -> Column:
+    """text cut at the matches of a pattern (without groups that the caller needs): gap, match, gap, ..., gap. One pass of
+    the pattern, compiled once. Make it a column of its own: occurrences() uses it several times."""
+    marked = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    slow = F.flatten(F.zip_with(gaps, found, lambda g, f: F.when(f.isNull(), F.array(g)).otherwise(F.array(g, f))))
+    return F.when(F.contains(text, F.lit(MARK)), slow).otherwise(marked)
+
+
+def occurrences(cut: Column, left: int = 24, right: int = 8) -> Column:
+    """array of struct(pos, txt, before, after) from a column of parts(): before and after are what stands around a match
+    in its gaps, at most so many characters. (A substring of the whole text for each match would cost its position.)"""
+    ends = running(F.transform(cut, F.length))
+    # gap 0, match 1, gap 2, ...: the match at 2k - 1 begins where the part before it ends
+    places = F.transform(ends, lambda e, i: F.struct(e.alias("pos"), F.get(cut, i + 1).alias("txt"), F.substring(F.get(cut, i), -left, left).alias("before"), F.substring(F.get(cut, i + 2), 1, right).alias("after"), (i % 2 == 0).alias("gap")))
+    hits = F.filter(places, lambda p: p["gap"] & p["txt"].isNotNull())
+    return F.transform(hits, lambda p: F.struct(*(p[c].alias(c) for c in ("pos", "txt", "before", "after"))))
+
+
+def runs(ordered: Column, start, stop) -> Column:
+    """Arrays of spans that overlap each other, directly or by others, in an array of spans ordered by start: nothing
+    overlaps across two of them. start and stop give a span's ends."""
+    reach = running(F.transform(ordered, lambda s: stop(s)), lambda x, y: F.greatest(x, y))
+    held = F.struct(ordered.alias("s"), reach.alias("r"))
+
+    def cut(h):
+        first = F.filter(F.sequence(F.lit(0), F.size(h["s"]) - 1), lambda i: (i == 0) | (start(F.get(h["s"], i)) >= F.get(h["r"], i - 1)))
+        firsts = F.struct(first.alias("f"), h["s"].alias("s"))
+        return F.get(F.transform(F.array(firsts), lambda c: F.transform(c["f"], lambda a, k: F.slice(c["s"], a + 1, F.coalesce(F.get(c["f"], k + 1), F.size(c["s"])) - a))), F.lit(0))
+
+    # a one-element array binds what is used for each element, so that it is worked out once
+    return F.get(F.transform(F.array(held), cut), F.lit(0))
+
+
 # ---- numpy kernels --------------------------------------------------------------------------------------------
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
