@@ -253,11 +253,11 @@ def least_capacity(sizes, k):
     return lo
 
 
-@pytest.mark.parametrize("part_rows", [20_000, 2])
-def test_sharding(docs, part_rows):
+@pytest.mark.parametrize("how", [{}, {"part_rows": 2, "top_bits": 2, "step_bits": 3, "split": 2}])
+def test_sharding(docs, how):
     from pyspark.sql import functions as F
 
-    got = sharding.sharded(docs, part_rows=part_rows).collect()
+    got = sharding.sharded(docs, **how).collect()
     rows = rows_of(docs)
     assert bag((r.doc_id, r["size"], r.text_crc32) for r in got) == bag((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows)
     slots = defaultdict(list)
@@ -270,8 +270,27 @@ def test_sharding(docs, part_rows):
     assert all(len(s) == 1 for s in by_text.values())
     if rows:
         text = F.coalesce("text", F.lit(""))
-        groups = docs.groupBy(F.pmod(F.xxhash64(text), F.lit(sharding.BUCKETS)).alias("b")).agg(F.sum(F.octet_length(text) + 1).alias("s")).orderBy("b").collect()
+        groups = docs.groupBy(F.xxhash64(text).alias("h")).agg(F.sum(F.octet_length(text) + 1).alias("s")).orderBy("h").collect()
         loads = defaultdict(int)
         for r in got:
             loads[r.shard] += r["size"]
         assert max(loads.values()) == least_capacity([g.s for g in groups], 16)
+    again = sharding.sharded(docs.repartition(7), **how).collect()
+    assert bag(map(tuple, got)) == bag(map(tuple, again))
+
+
+def test_least_capacity_by_ranges():
+    """Bounds from ranges of groups hold the least capacity over the groups, and refining ends at it."""
+    rng = random.Random(6)
+    for _ in range(60):
+        sizes = [rng.randint(1, rng.choice([3, 50, 400])) for _ in range(rng.randint(1, 200))]
+        k, step = rng.randint(1, 16), rng.randint(2, 30)
+        want = least_capacity(sizes, k)
+        parts = [sizes[i : i + step] for i in range(0, len(sizes), step)]
+        ranges = sharding.Ranges([(i, sum(p), 0, len(p) == 1) for i, p in enumerate(parts)])
+        assert ranges.least(k, False) <= want <= ranges.least(k, True)
+        assert sharding.Ranges([(i, s, 0, True) for i, s in enumerate(sizes)]).least(k, True) == want
+        low, high = ranges.least(k, False), ranges.least(k, True)
+        split = set(ranges.open(low, high, k))
+        mixed = [x for i, p in enumerate(parts) for x in ([(i, s, 0, True) for s in p] if i in split else [(i, sum(p), 0, len(p) == 1)])]
+        assert sharding.Ranges(mixed).least(k, True) == want
