@@ -12,8 +12,9 @@ projection. The fit runs on the driver over the bounded sample; the rest is Data
 
 Cases: a null text counts as empty; it, and white space, has no words and fails the base rule; one very long text is one
 row's arrays; repeated rows and null ids are rows like others; without labelled rows of both classes there are no
-learned rules; an empty table gives no rows. Extra columns are kept by quality_filter unless they are named like one of
-its working columns, which start with "_q_".
+learned rules; an empty table gives no rows. A label counts by the majority of its id's rows; ids whose labels tie, and
+null ids and labels, are left out. Of several rows with a labelled id the one with the smallest hash of its text is the
+sample. Extra columns of any name are kept by quality_filter.
 """
 
 from __future__ import annotations
@@ -110,6 +111,16 @@ class DecisionList:
         return "\n".join(" and ".join(map(str, r)) + " -> reject" for r in self.rules) or "keep"
 
 
+def merged(rule: list[Condition]) -> tuple[Condition, ...]:
+    """A conjunction with the narrowest condition of each feature and side."""
+    tight: dict[tuple[str, bool], Condition] = {}
+    for c in rule:
+        held = tight.setdefault((c.name, c.above), c)
+        if (c.threshold > held.threshold) == c.above and c.threshold != held.threshold:
+            tight[c.name, c.above] = c
+    return tuple(tight.values())
+
+
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, rules: int = 8, conditions: int = 3, thresholds: int = 40, least_precision: float = 0.75, least_cover: int = 3) -> DecisionList:
     """Sequential covering on features x of labelled rows (bad: rejected ones). Every third row is held out."""
     n = len(bad)
@@ -153,7 +164,7 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, rules: int = 8, conditions:
             rule.pop()
         if worth(rule)[1] < least_precision:
             break
-        found.append(tuple(rule))
+        found.append(merged(rule))
         cover = left.copy()
         for c in rule:
             cover &= c.covers(x)
@@ -163,15 +174,16 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, rules: int = 8, conditions:
 
 def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DecisionList:
     """Rules from at most sample_rows labelled rows (label 0: rejected)."""
-    sample = labels.select(F.col(id_col).alias("_q_id"), F.col(label_col).alias("_q_label")).dropna().dropDuplicates(["_q_id"])
-    sample = sample.orderBy(F.xxhash64("_q_id"), "_q_id").limit(sample_rows)
+    votes = labels.select(F.col(id_col).alias("_q_id"), (F.col(label_col) == 0).cast("int").alias("bad")).dropna().groupBy("_q_id").agg(F.avg("bad").alias("bad")).filter("bad <> 0.5")
+    sample = votes.select("_q_id", (F.col("bad") > 0.5).alias("_q_bad")).orderBy(F.xxhash64("_q_id"), "_q_id").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("_q_id"), F.col(text_col).alias("_q_text"))
     # the sample's size is bounded by its parameter
-    rows = with_statistics(rows.join(F.broadcast(sample), "_q_id"), "_q_text")
-    got = rows.select("_q_id", "_q_label", *(feature(f).alias(f) for f in FEATURES)).groupBy("_q_id").agg(F.first("_q_label").alias("label"), *(F.min(f).alias(f) for f in FEATURES)).orderBy(F.xxhash64("_q_id"), "_q_id").collect()
+    rows = with_statistics(rows.join(F.broadcast(sample), "_q_id"), "_q_text").withColumn("_q_key", F.xxhash64("_q_text"))
+    features = F.struct(*(feature(f).alias(f) for f in FEATURES))
+    got = rows.groupBy("_q_id").agg(F.first("_q_bad").alias("bad"), F.min_by(features, "_q_key").alias("x")).orderBy(F.xxhash64("_q_id"), "_q_id").collect()
     if not got:
         return DecisionList([])
-    return learn({f: np.array([r[f] for r in got], float) for f in FEATURES}, np.array([r["label"] == 0 for r in got]))
+    return learn({f: np.array([r["x"][f] for r in got], float) for f in FEATURES}, np.array([r["bad"] for r in got]))
 
 
 def base_failed() -> Column:
@@ -192,7 +204,8 @@ def quality_filter(docs: DataFrame, rules: DecisionList, text_col: str = "text")
     # a filter moves below a projection by repeating its expressions, unless one of them is not deterministic: this one
     # (always true) keeps the arrays from being made again for each of their elements
     once = F.monotonically_increasing_id() >= 0
-    return with_statistics(docs, text_col).withColumn("_q_kept", ~base_failed() & ~rules.rejected() & once).filter("_q_kept").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_q_row"), F.col(text_col).alias("_q_text"))  # no column of docs meets a working one
+    return with_statistics(rows, "_q_text").withColumn("_q_kept", ~base_failed() & ~rules.rejected() & once).filter("_q_kept").select("_q_row.*")
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
