@@ -14,8 +14,7 @@ whole run, so that each block holds the sources in about the target weights; wit
 
 Cases: null is a source of its own; null and empty texts have no tokens and run with their source's full passes; a
 source without any tokens runs once; repeated rows are rows of their own (with one id: in or out together); an empty
-table gives no rows. Extra columns are kept by mixed() unless named like one of its working columns, which start with
-"_m_".
+table gives no rows. Extra columns of any name are kept by mixed(), but for the three that it adds.
 
 Sources may be as many as documents. The exponent is sought on the driver from a histogram of their tokens, a row for
 each different number: D of these are of D * (D - 1) / 2 tokens at least, so that D grows with the square root of the
@@ -75,8 +74,8 @@ def temperature_weights(totals: DataFrame, max_repeats: float | None = 2.0, entr
 
     entropy: in bits; it's the target if given.
     """
-    found = totals.filter("tokens > 0").groupBy("tokens").agg(F.count("*").alias("n")).orderBy("tokens").toArrow()
-    tokens, n = (found[c].to_numpy().astype(float) for c in ("tokens", "n"))
+    found = totals.filter("tokens > 0").groupBy("tokens").agg(F.count("*").alias("n")).orderBy("tokens").collect()
+    tokens, n = (np.array([r[c] for r in found], float) for c in ("tokens", "n"))
     total, a, z, floor = float((tokens * n).sum()), 1.0, 1.0, 1.0
     if len(tokens):
         p = tokens / total
@@ -133,16 +132,18 @@ def mixed(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col:
     total, n, all_docs = plan.agg(F.sum("_m_target"), F.count("*"), F.coalesce(F.sum("_m_docs"), F.lit(0))).first()
     total = max(1, total or 0)
     n_blocks = max(1, -(-total // block_tokens))
-    df = _with_sources(docs, source_col, plan, "_m_source", "_m_docs", n, all_docs)
-    also = F.coalesce(_hash(id_col, F.col("_m_full")) <= F.col("_m_bound"), F.lit(False)).cast("int")
+    # no column of docs meets a working one
+    rows = docs.select(F.struct("*").alias("_m_row"), F.col(source_col).alias("_m_from"), F.col(id_col).alias("_m_id"))
+    df = _with_sources(rows, "_m_from", plan, "_m_source", "_m_docs", n, all_docs)
+    also = F.coalesce(_hash("_m_id", F.col("_m_full")) <= F.col("_m_bound"), F.lit(False)).cast("int")
     df = df.withColumn("_m_n", F.col("_m_full") + also).filter("_m_n > 0")
     df = df.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("_m_n") - 1)))
-    h = _hash(id_col, F.col("mix_pass"))
+    h = _hash("_m_id", F.col("mix_pass"))
     within = (F.shiftright(h, 11) + (1 << 52)).cast("double") / float(1 << 53)
     runs = F.greatest(F.when(F.col("_m_tokens") > 0, F.col("_m_target") / F.greatest(F.col("_m_tokens"), F.lit(1))).otherwise(F.lit(1.0)), F.lit(1e-12))
     at = F.least((F.col("mix_pass") + within) / runs, F.lit(0.9999999999))
-    df = df.withColumns({"mix_block": F.floor(at * n_blocks).cast("long"), "mix_order": F.xxhash64(F.col(id_col), "mix_pass", F.lit(1))})
-    return df.select(*docs.columns, "mix_pass", "mix_block", "mix_order")
+    df = df.withColumns({"mix_block": F.floor(at * n_blocks).cast("long"), "mix_order": F.xxhash64("_m_id", "mix_pass", F.lit(1))})
+    return df.select(*(F.col("_m_row")[c].alias(c) for c in docs.columns), "mix_pass", "mix_block", "mix_order")
 
 
 def op2_source_mixing(spark, sf_dir: str) -> DataFrame:
