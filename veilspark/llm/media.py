@@ -99,9 +99,13 @@ def unfiltered(rows: np.ndarray) -> np.ndarray:
             for r in range(a, b):
                 left = corner = 0
                 for x, (value, up) in enumerate(zip(data[r].tolist(), above.tolist(), strict=True)):
-                    guess = (left + up) // 2 if kind == 3 else int(_paeth(left, up, corner))
-                    left = out[r, x] = (value + guess) & 255
-                    left, corner = int(left), up
+                    if kind == 3:
+                        guess = (left + up) // 2
+                    else:
+                        by_left, by_up, by_corner = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+                        guess = left if by_left <= by_up and by_left <= by_corner else up if by_up <= by_corner else corner
+                    out[r, x] = left = (value + guess) & 255
+                    corner = up
                 above = out[r]
         above = out[b - 1]
     return out
