@@ -49,6 +49,10 @@ HOT_CLASSES = 2000
 HOT_SHINGLES = 4096
 _HOT_ORDER = 1 << 48
 _FLUSH = 400_000
+#: Keys of a join that are dealt apart at most, from how many rows on, and to how many tasks each.
+LARGEST = 4096
+LARGE_ROWS = 300
+SALT = 64
 
 
 def _need(n: np.ndarray | int, num: int, den: int):
@@ -329,6 +333,21 @@ def _unit_rows(batches, num: int, den: int) -> Iterator:
         yield done(cls, sets)
 
 
+def _largest(counted: DataFrame, key: str) -> list[int]:
+    """The keys with most rows, LARGEST at most, of those with LARGE_ROWS."""
+    return [r[0] for r in counted.filter(F.col("rows") >= LARGE_ROWS).orderBy(F.desc("rows"), key).limit(LARGEST).select(key).collect()]
+
+
+def _met(many: DataFrame, one: DataFrame, key: str, hot: list[int], *spread: str) -> DataFrame:
+    """many's rows with those of one (a row for each key); rows of hot keys are dealt by a hash of the columns in spread."""
+    if not hot:
+        return many.join(one, key)
+    apart = F.col(key).isin(hot)
+    salted = many.withColumn("salt", F.when(apart, F.pmod(F.xxhash64(*spread), F.lit(SALT)).cast("int")).otherwise(0))
+    copies = F.explode(F.when(apart, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0))))
+    return salted.join(one.withColumn("salt", copies), [key, "salt"]).drop("salt")
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: tuple[int, int] = (3, 4), unit_shingles: int = UNIT_SHINGLES, hot_classes: int = HOT_CLASSES) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, class (fingerprint of the set), component_id.
 
@@ -367,7 +386,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     often = often.groupBy("tok").agg(F.sum("k").alias("k")).filter(F.col("k") >= hot_classes).orderBy(F.desc("k"), "tok").limit(HOT_SHINGLES)
     found = sorted((r.tok % (1 << 64), _HOT_ORDER + r.k) for r in often.collect())
     hot = (np.array([t for t, _ in found], np.uint64), np.array([k for _, k in found], np.int64))
-    classes = rows.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min("id").alias("least"), F.min(F.struct("id", "key")).alias("rep"))
+    classes = rows.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min("id").alias("least"), F.min(F.struct("id", "key")).alias("rep"), F.count("*").alias("rows"))
 
     n_parts = partitions(spark)
     prefixes = text.select("text").mapInArrow(lambda b: _prefix_rows(b, size, num, den, pieces, hot), "piece int, tok binary, cls binary, low binary")
@@ -405,8 +424,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     roots = connected_components(links) if cut else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     placed = classes.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = placed.join(smallest, "root").select("cls", "component_id")
-    out = rows.join(ids, "cls", "left")
+    # the rows of the largest classes and the classes of the largest components are dealt to SALT tasks each; with
+    # LARGEST of them apart, each of the others has one in LARGEST of all rows at most. Rows without shingles meet nothing
+    hot_roots, hot_cls = _largest(placed.groupBy("root").agg(F.count("*").alias("rows")), "root"), _largest(classes, "cls")
+    ids = _met(placed, smallest, "root", hot_roots, "cls").select("cls", "component_id")
+    out = _met(rows.filter("n > 0"), ids, "cls", hot_cls, "id", "key").unionByName(rows.filter("n = 0").withColumn("component_id", F.lit(None).cast(kind)))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("class"), F.coalesce("component_id", "id").alias("component_id"), F.col("key").alias("text_hash"))
 
 
