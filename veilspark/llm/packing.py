@@ -3,7 +3,8 @@
 One histogram of all lengths (words) has a row for each length that occurs; dynamic programming over it chooses the
 n_buckets upper lengths with the least padding in all, exactly. A bucket's batches hold as many documents as the token
 budget has room for when each is padded to the bucket's length (one, if none fits). Within a bucket documents go by a
-hash; numbering is by PARTS parts of the hash order with an offset for each, so that no task gets a bucket.
+hash of id and text, however the table was read; numbering is by PARTS parts of the hash order with an offset for each,
+so that no task gets a bucket. With blocks (of a mixed sequence) each block's documents have batches of their own.
 
 The driver gets the histogram as two numbers a length. D different lengths are of texts with D * (D - 1) / 2 words at
 least, so that D grows with the square root of the input at most: 100,000 for five thousand million words.
@@ -15,7 +16,7 @@ longer than the budget has batches of one; null ids are kept; an empty table giv
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm.mixing import word_count
@@ -63,10 +64,12 @@ def best_edges(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, k: int
     return sorted(edges)
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET) -> DataFrame:
-    """A row for each row of docs: id_col, length, bucket, padded_length, batch, place."""
-    rows = docs.select(F.col(id_col).alias("id"), word_count(text_col).alias("length"), F.monotonically_increasing_id().alias("r"))
-    rows = rows.withColumn("h", F.xxhash64("id", "r"))
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, block: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each row of docs: id_col, length, bucket, padded_length, block, batch, place, and the columns of keep.
+
+    block: a number of each row (null: -1); batches hold rows of one block alone, so that an order of blocks stays. Without
+    it all rows are one block. The edges are of all rows."""
+    rows = docs.select(F.col(id_col).alias("id"), word_count(text_col).alias("length"), F.xxhash64(id_col, F.xxhash64(text_col)).alias("h"), F.coalesce(block if block is not None else F.lit(0), F.lit(-1)).cast("long").alias("block"), F.struct(F.lit(0).alias("_"), *keep).alias("kept"))
     rows = staged(rows.withColumn("part", (F.shiftright("h", 64 - 10) + PARTS // 2).cast("int")), "pack")
     found = rows.groupBy("length").agg(F.count("*").alias("n")).orderBy("length").toArrow()
     lengths, counts = (found[c].to_numpy() for c in ("length", "n"))
@@ -76,16 +79,19 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_bu
         bucket = F.when(F.col("length") <= edges[k], k).otherwise(bucket)
         size = F.when(F.col("length") <= edges[k], edges[k]).otherwise(size)
     rows = rows.withColumns({"bucket": bucket.cast("int"), "padded_length": size.cast("long")})
-    order = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = rows.groupBy("bucket", "part").agg(F.count("*").alias("n")).select("bucket", "part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
-    # PARTS rows a bucket at most
-    rows = rows.join(F.broadcast(before), ["bucket", "part"])
-    rank = F.col("before") + F.row_number().over(Window.partitionBy("bucket", "part").orderBy("h", "r")) - 1
+    if block is not None:  # a block is a part of its own; large ones should be many
+        rank = F.row_number().over(Window.partitionBy("bucket", "block").orderBy("h", "id")).cast("long") - 1
+    else:
+        order = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        before = rows.groupBy("bucket", "part").agg(F.count("*").alias("n")).select("bucket", "part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+        # PARTS rows a bucket at most
+        rows = rows.join(F.broadcast(before), ["bucket", "part"])
+        rank = F.col("before") + F.row_number().over(Window.partitionBy("bucket", "part").orderBy("h", "id")) - 1
     room = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.col("padded_length"), F.lit(1)))).cast("long")
     rows = rows.withColumns({"rank": rank, "room": room})
-    return rows.select(F.col("id").alias(id_col), "length", "bucket", "padded_length", F.floor(F.col("rank") / F.col("room")).cast("long").alias("batch"), (F.col("rank") % F.col("room")).cast("int").alias("place"))
+    return rows.select(F.col("id").alias(id_col), "length", "bucket", "padded_length", "block", F.floor(F.col("rank") / F.col("room")).cast("long").alias("batch"), (F.col("rank") % F.col("room")).cast("int").alias("place"), *(F.col("kept")[c].alias(c) for c in keep))
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
     """All documents in batches of 8192 words at most, in 16 length buckets."""
-    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("block")
