@@ -369,3 +369,81 @@ def test_pipeline(spark, sf):
     assert len(seen["packing"]) == len(seen["mixing"]) and {r.doc_id for r in seen["mixing"]} == {r.doc_id for r in seen["secrets"]}
     assert cp.run(spark, sf).count() == len(seen["packing"])
 
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    import corpus_pipeline as cp
+    from pyspark.sql import functions as F
+
+    sf = str(tmp_path)
+    labels = [(k, k % 2, 0) for k in range(20)] + [(None, 1, 0), (3, None, 0), (4, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    for table, rows in ((odd, odd.count()), (empty, 0)):
+        docs = table.withColumns({"n_chars": F.length("text").cast("long"), "_q_words": F.lit("mine"), "_m_row": F.lit(1), "mix_pass0": F.lit(2)})
+        columns = docs.columns
+        for name, stage in cp.STAGES:
+            docs = cp.staged(stage(spark, docs, sf), f"odd-{name}")
+            if name != "packing":
+                assert docs.columns == columns and {r[0] for r in docs.select("_q_words").distinct().collect()} <= {"mine"}
+        assert docs.count() <= 3 * rows and {"doc_id", "batch", "place", "block", "text"} <= set(docs.columns)
+
+
+def test_labels_by_majority_and_narrow_conditions(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    flipped = labels.selectExpr("doc_id", "1 - quality as quality")
+    want = str(quality.fit_rules(docs, labels))
+    assert str(quality.fit_rules(docs, labels.union(labels).union(flipped))) == want
+    assert str(quality.fit_rules(docs, labels.union(flipped))) == "keep"
+    c = quality.Condition
+    assert quality.merged([c("a", True, 1.0), c("b", False, 5.0), c("a", True, 2.0), c("b", False, 4.0), c("a", False, 9.0)]) == (c("a", True, 2.0), c("b", False, 4.0), c("a", False, 9.0))
+
+
+def test_rules_on_rows_never_fitted(spark):
+    """Labelled rows of sf0.01 in two halves by id: rules of one half, counted on the other."""
+    from pyspark.sql import functions as F
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
+    rules = quality.fit_rules(docs, labels.filter(half))
+    got = quality.quality_report(docs, rules).join(labels.filter(~half), "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(r.quality, r.kept): r["count"] for r in got}
+    good, bad = (n.get((q, True), 0) / max(1, n.get((q, True), 0) + n.get((q, False), 0)) for q in (1, 0))
+    print("kept of good, of bad:", good, bad, n)
+    assert good >= 0.9 and bad <= good - 0.5
+
+
+def test_documents_are_found_in_few_frames(spark, odd, tmp_path):
+    rows = odd.select("doc_id", "text").union(spark.range(200, 400).selectExpr("id", "concat('text ', id)"))
+    files = token_files.write_token_files(rows, f"file://{tmp_path}/one")
+    whole = {(r.doc_id, r.ids_crc32) for r in token_files.read_token_files(files).collect()}
+    wanted = spark.createDataFrame([(5,), (5,), (250,), (399,), (12345,), (None,)], "doc_id long")
+    got = token_files.read_documents(files, wanted).collect()
+    import zlib
+
+    assert sorted(r.doc_id for r in got) == [5, 5, 5, 250, 399] and all(r.frames == 1 for r in got)
+    assert all((r.doc_id, zlib.crc32(np.array(r.ids, "<u4").tobytes())) in whole for r in got)
+    none = token_files.write_token_files(rows.limit(0), f"file://{tmp_path}/none")
+    assert token_files.read_documents(none, wanted).count() == 0
+
+
+def test_large_classes_are_dealt_apart(spark, monkeypatch):
+    rows = [(d, "a b c d e f g h" if d % 3 == 0 else f"a b c d e f g h{' i' * (d % 2)}" if d % 3 == 1 else f"w{d} x y z u v w x") for d in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(map(tuple, ngram_join.ngram_components(docs).select("doc_id", "n_shingles", "component_id").collect()))
+    monkeypatch.setattr(ngram_join, "LARGE_ROWS", 2)
+    assert sorted(map(tuple, ngram_join.ngram_components(docs).select("doc_id", "n_shingles", "component_id").collect())) == want
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from veilspark.llm import shared
+
+    unset = SimpleNamespace(isEmpty=lambda: True)
+    sc = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)), getConf=lambda: {}, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        shared.shared_dir(SimpleNamespace(sparkContext=sc, conf={}))
+    first = shared.staged_tables(spark)
+    shared.staged(spark.range(3), "gone")
+    assert shared.staged_tables(spark) == first + 1 and shared.drop_staged(spark, first) == 1
