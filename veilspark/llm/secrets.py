@@ -1,10 +1,13 @@
 """Secret scans: fixed formats, and character Markov models of random strings and ordinary identifiers.
 
 Fixed formats (BASE) are found leftmost and without overlap, each kind by itself. Beyond them, every maximal run of
-CANDIDATE characters with two kinds of character at least is scored: the logarithm of its probability as a random string
-less that as an identifier, both by first-order character models with added counts, for each character. Runs above the
-threshold are spans of the kind "markov", unless a fixed format has found part of them. Models are trained from labelled
-strings: by default some that are made from a fixed seed, else the caller's own.
+CANDIDATE characters (SHORTEST at least: shorter random strings can't be told from words) with two kinds of character of
+small letters, capitals and digits is scored: the logarithm of its probability as a random string less that as an
+identifier, both by first-order character models with added counts, for each character. Runs above the threshold of their
+length are spans of the kind "markov", unless a fixed format has found part of them. The threshold of each class of lengths
+is the highest that lets all but MISSED of the held-out random strings of that class through, so that identifiers unlike
+the trained ones stay below it as far as can be, and not below the score that one in a thousand held-out identifiers
+exceeds. Models are trained from labelled strings: by default some that are made from a fixed seed, else the caller's own.
 
 Cases: null and empty texts have no spans; texts are scanned whole; repeated rows, null ids and extra columns are kept
 as they are; an empty table gives no rows. Positions are code points, the end exclusive.
@@ -29,22 +32,30 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SHORTEST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+#: Part of the random strings that a threshold may miss.
+MISSED = 0.01
+#: First lengths of the classes that have a threshold of their own.
+LENGTHS = (16, 20, 32)
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 #: Words of which ordinary identifiers are made.
 PARTS = tuple("get set user name index value count list file path data time date page text line node item type key id url size max min sum old new load save read write open close start stop next last first left right main test case error result config option buffer stream record field table column row query filter order group".split())
 
 
-def labelled_strings(n: int = 4000, seed: int = 11) -> list[tuple[str, bool]]:
+def labelled_strings(n: int = 12_000, seed: int = 11) -> list[tuple[str, bool]]:
     """n made strings, half of them random (True) and half identifiers, paths and words (False)."""
     rng = random.Random(seed)
     made = []
     sets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", "0123456789abcdef", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "_-"]
     syllables = [a + b for a in "bcdfghlmnprstvz" for b in ("a", "e", "i", "o", "u", "en", "er", "on", "an", "th")]
+    # common parts of words of several European languages
+    syllables += ["sch", "ung", "keit", "lich", "heit", "berg", "stadt", "tion", "ment", "que", "eux", "ado", "ción", "iert", "tz", "pf", "str", "schaft", "zeug", "ly", "wh", "nd"]
+    syllables = [x for x in syllables if x.isascii()]
     for k in range(n // 2):
-        made.append(("".join(rng.choices(sets[k % len(sets)], k=rng.randint(20, 64))), True))
+        made.append(("".join(rng.choices(sets[k % len(sets)], k=rng.randint(16, 64))), True))
         words = [rng.choice(PARTS) if rng.random() < 0.6 else "".join(rng.choices(syllables, k=rng.randint(2, 4))) for _ in range(rng.randint(3, 8))]
-        style = k % 6
+        style = k % 7
         if style == 0:
             text = "_".join(words)
         elif style == 1:
@@ -55,6 +66,8 @@ def labelled_strings(n: int = 4000, seed: int = 11) -> list[tuple[str, bool]]:
             text = "/".join(words)
         elif style == 4:
             text = "".join(words)
+        elif style == 5:
+            text = "".join(words).capitalize()
         else:
             text = "_".join(w.upper() for w in words) + (f"_{rng.randint(1, 99)}" if rng.random() < 0.5 else "")
         made.append((text, False))
@@ -66,13 +79,19 @@ class MarkovModels:
 
     def __init__(self, labelled: list[tuple[str, bool]], added: float = 0.5, false_rate: float = 0.001):
         self.added = added
-        held = labelled[::4]
-        rest = [x for k, x in enumerate(labelled) if k % 4]
+        held = [x for k, x in enumerate(labelled) if k // 2 % 4 == 0]
+        rest = [x for k, x in enumerate(labelled) if k // 2 % 4]
         tables = [self._train([s for s, y in rest if y is kind]) for kind in (True, False)]
         self.ratio = {a: {b: tables[0][a][b] - tables[1][a][b] for b in ALPHABET} for a in (*ALPHABET, "^")}
-        clean = sorted((self.score(s) for s, y in held if not y), reverse=True)
-        highest = clean[int(len(clean) * false_rate)] if clean else 0.0
-        self.threshold = max(0.35, highest + 0.05)
+        self.thresholds = {}
+        for first, end in zip(LENGTHS, (*LENGTHS[1:], 1 << 60), strict=True):
+            scores = lambda kind: sorted(self.score(x) for x, y in held if y is kind and first <= len(x) < end)  # noqa: B023, E731
+            clean, wild = scores(False)[::-1], scores(True)
+            bounds = [*(clean[int(len(clean) * false_rate)],) * bool(clean), *(wild[int(len(wild) * MISSED)],) * bool(wild)]
+            self.thresholds[first] = max(bounds, default=math.inf)
+
+    def threshold(self, s: str) -> float:
+        return self.thresholds[max((k for k in LENGTHS if k <= len(s)), default=LENGTHS[0])]
 
     def _train(self, strings: list[str]) -> dict:
         counts = {a: dict.fromkeys(ALPHABET, self.added) for a in (*ALPHABET, "^")}
@@ -87,7 +106,7 @@ class MarkovModels:
 
     def random(self, s: str) -> bool:
         kinds = any(c.isdigit() for c in s) + any(c.islower() for c in s) + any(c.isupper() for c in s)
-        return kinds >= 2 and self.score(s) > self.threshold
+        return kinds >= 2 and self.score(s) > self.threshold(s)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -169,7 +188,7 @@ def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] != "markov")
-    return found.select("doc_id", *(n(k).alias(f"n_{k}") for k in KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *(n(k).alias(f"n_{k}") for k in KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 __all__ = ["MarkovModels", "all_spans", "base_spans", "labelled_strings", "op10_secret_scan", "redact_secrets", "redacted", "secret_spans"]
