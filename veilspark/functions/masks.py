@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.shipping import with_columns_from
+from veilspark.functions.shipping import tuples, with_columns_from
+from veilspark.functions.spans import Occupied
 
 # The types that are masked in part by default; all others get placeholders.
 PARTIAL = ("id_card", "phone", "fax", "toll_free", "bank_account", "email", "passport", "hk_macau_pass", "taiwan_pass", "military_id", "credit_code", "license_plate", "vin")
@@ -30,36 +33,6 @@ KEPT_ENDINGS = ("中级人民法院", "高级人民法院", "会计师事务所"
 ENDS = {"id_card": (3, 2), "bank_account": (4, 4), "passport": (2, 2), "hk_macau_pass": (2, 2), "taiwan_pass": (2, 2), "military_id": (2, 2), "credit_code": (4, 4), "license_plate": (2, 1), "vin": (3, 3)}
 
 
-def _stars(n) -> Column:
-    return F.repeat(F.lit("*"), F.greatest(n, F.lit(0)).cast("int"))
-
-
-def partial_mask(txt: Column, etype: Column) -> Column:
-    """txt with a part of it kept, by type; types without a rule become stars."""
-    n = F.length(txt)
-    out = None
-    when = lambda cond, value: F.when(cond, value) if out is None else out.when(cond, value)
-    for kinds in sorted({v for v in ENDS.values()}):
-        a, b = kinds
-        names = [k for k, v in ENDS.items() if v == kinds]
-        out = when(etype.isin(*names), F.when(n >= a + b, F.concat(F.substring(txt, 1, a), _stars(n - a - b), F.substring(txt, n - b + 1, F.lit(b)))).otherwise(_stars(n)))
-    chars = F.split(txt, "")
-    digits = F.regexp_count(txt, F.lit(r"(?U)\d"))
-    rank = lambda i: F.regexp_count(F.array_join(F.slice(chars, F.lit(1), i + 1), ""), F.lit(r"(?U)\d"))
-    number = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(r"(?U)^\d$") & (rank(i) > 3) & (rank(i) <= digits - 2), F.lit("*")).otherwise(c)), "")
-    out = when(etype.isin("phone", "fax", "toll_free"), F.when(digits >= 5, number).otherwise(txt))
-    user = F.substring_index(txt, "@", 1)
-    rest = F.substring(txt, F.length(user) + 1, n)
-    out = when(etype == "email", F.when(F.contains(txt, F.lit("@")), F.concat(F.when(F.length(user) <= 2, _stars(F.length(user))).otherwise(F.concat(F.substring(user, 1, 2), _stars(F.length(user) - 2))), rest)).otherwise(txt))
-    out = when(etype == "person", F.when(n >= 2, F.concat(F.substring(txt, 1, 1), _stars(n - 1))).otherwise(txt))
-    tail = F.regexp_extract(txt, f"({'|'.join(KEPT_ENDINGS)})$", 1)
-    core = F.substring(txt, F.lit(1), n - F.length(tail))
-    short = F.when(n >= 2, F.concat(F.substring(txt, 1, 1), _stars(n - 1))).otherwise(_stars(n))
-    named = F.when(F.length(core) >= 1, F.concat(F.substring(core, 1, 1), _stars(F.greatest(F.length(core) - 1, F.lit(1))), tail)).otherwise(tail)
-    out = when(etype.isin(*ORGANISATIONS), F.when(F.length(tail) > 0, named).otherwise(short))
-    return out.otherwise(_stars(n))
-
-
 def strategies(overrides: dict[str, str] | None = None, everything: str | None = None) -> dict[str, str]:
     """type -> partial or placeholder; types that are absent get placeholders."""
     known = set(CHINESE) - set(UNSET)
@@ -67,6 +40,7 @@ def strategies(overrides: dict[str, str] | None = None, everything: str | None =
     return base | {t: s for t, s in (overrides or {}).items() if s in ("partial", "placeholder")}
 
 
+@lru_cache(8)
 def labels(style: str) -> dict[str, str]:
     """type -> label inside the brackets; types with one label share numbers."""
     if style == "english_bracket":
@@ -80,7 +54,7 @@ def _lookup(values: dict[str, str], key: Column, default: str) -> Column:
 
 
 def partly(txt: str, etype: str) -> str:
-    """partial_mask for one string."""
+    """txt with a part of it kept, by type; types without a rule become stars."""
     n = len(txt)
     if etype in ENDS:
         a, b = ENDS[etype]
@@ -134,8 +108,9 @@ def mask_one(text: str, spans: list[tuple[int, str, str]], chosen: dict[str, str
         return given[key]
 
     taken: list[tuple[int, int, str, str, str]] = []
+    held = Occupied()
     for pos, txt, etype in sorted(spans, key=lambda s: (-len(s[1]), s[0], s[1], s[2])):
-        if any(pos < e and s < pos + len(txt) for s, e, *_ in taken):
+        if not held.take(pos, pos + len(txt)):
             continue
         if chosen.get(etype, "placeholder") == "partial":
             mask = partly(txt, etype)
@@ -163,8 +138,8 @@ def masked(df: DataFrame, spans: str = "spans", text_col: str = "text", override
 
     Longer spans come first and overlapping shorter ones go; in that order new names get numbers. seed: a column like
     mapping; its placeholders stay and its numbers are not used again. abbreviations: a map column short -> full.
-    One pass in Arrow batches over texts and spans: numbering with shared labels and seeds is a fold with state, and
-    nested array functions for it are made anew for each element of each other.
+    One pass in Arrow batches over texts and spans: numbering with shared labels and seeds is a fold with state, which
+    nested array functions would make anew for each of their elements.
     """
     if style not in STYLES:
         raise ValueError(f"style is one of {tuple(STYLES)}")
@@ -172,13 +147,14 @@ def masked(df: DataFrame, spans: str = "spans", text_col: str = "text", override
     inputs = [text_col, spans, *(c for c in (seed, abbreviations) if c)]
 
     def run(texts, found, *more):
+        texts = texts.to_pylist()
         empty = [None] * len(texts)
-        old = more[0] if seed else empty
-        short = more[-1] if abbreviations else empty
+        old = more[0].to_pylist() if seed else empty
+        short = more[-1].to_pylist() if abbreviations else empty
         out = [[], [], []]
-        for t, s, o, a in zip(texts, found, old, short, strict=True):
+        for t, s, o, a in zip(texts, tuples(found, "pos", "txt", "etype"), old, short, strict=True):
             seeds = {k: (v["type"], v["original"]) for k, v in dict(o or {}).items()}
-            m, facts, log = mask_one(t or "", [(x["pos"], x["txt"], x["etype"]) for x in s or []], chosen, style, seeds, dict(a or {}))
+            m, facts, log = mask_one(t or "", s, chosen, style, seeds, dict(a or {}))
             for col, v in zip(out, (m if t is not None else None, list(facts.items()), log), strict=True):
                 col.append(v)
         return out
@@ -190,3 +166,10 @@ def restored(df: DataFrame, mapping: str = "mapping", text_col: str = "masked_te
     """df with placeholders replaced by their originals, longer placeholders first; empty originals are left out."""
     order = F.array_sort(F.transform(F.filter(F.map_entries(F.col(mapping)), lambda e: F.coalesce(e["value"]["original"], F.lit("")) != ""), lambda e: F.struct((-F.length(e["key"])).alias("n"), e["key"].alias("k"), e["value"]["original"].alias("o"))))
     return df.withColumn(into, F.when(F.col(mapping).isNull(), F.col(text_col)).otherwise(F.aggregate(order, F.col(text_col), lambda t, e: F.replace(t, e["k"], e["o"]))))
+
+
+def flat_mapping(mapping: dict) -> dict[str, str]:
+    """placeholder -> original of a mapping as JSON: with or without a wrapper, facts or plain strings; empty ones go."""
+    inner = mapping.get("mapping", mapping) if isinstance(mapping.get("mapping"), dict) else mapping
+    pairs = {k: v.get("original") if isinstance(v, dict) else v for k, v in inner.items()}
+    return {k: v for k, v in pairs.items() if isinstance(v, str) and v}

@@ -26,9 +26,9 @@ def ship(spark: SparkSession) -> None:
     sc._veilspark_shipped = True
 
 
-def with_columns_from(df: DataFrame, inputs: list[str], ddl: str, fn: Callable[..., list[list]]) -> DataFrame:
-    """df with the columns of ddl, which fn makes from the lists of values of the input columns, an Arrow batch at a time.
-    Other columns pass through as they are."""
+def with_columns_from(df: DataFrame, inputs: list[str], ddl: str, fn: Callable[..., list]) -> DataFrame:
+    """df with the columns of ddl, which fn makes from the input columns (Arrow arrays), an Arrow batch at a time: a list of
+    values, or an Arrow array, for each. Other columns pass through as they are."""
     ship(df.sparkSession)
     made = T.StructType.fromDDL(ddl)
     places = [df.columns.index(c) for c in inputs]
@@ -40,7 +40,41 @@ def with_columns_from(df: DataFrame, inputs: list[str], ddl: str, fn: Callable[.
 
         kinds = [to_arrow_type(f.dataType) for f in made.fields]
         for b in batches:
-            new = fn(*(b.column(k).to_pylist() for k in places))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(n)), *(pa.array(v, t) for v, t in zip(new, kinds, strict=True))], [*b.schema.names, *made.names])
+            new = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(fn(*(b.column(k) for k in places)), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(n)), *new], [*b.schema.names, *made.names])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *made.fields]))
+
+
+def tuples(column, *fields: str) -> list[list[tuple]]:
+    """Rows of an Arrow array of lists of structs, as lists of tuples of the fields; null counts as empty."""
+    import pyarrow.compute as pc
+
+    flat = column.flatten()
+    rows = list(zip(*(flat.field(f).to_pylist() for f in fields), strict=True))
+    out, at = [], 0
+    for size in pc.fill_null(pc.list_value_length(column), 0).to_pylist():
+        out.append(rows[at : at + size])
+        at += size
+    return out
+
+
+def struct_lists(rows: list[list[tuple]], kind):
+    """An Arrow array of the type kind (a list of structs) from lists of tuples in the order of its fields."""
+    import pyarrow as pa
+
+    bounds = [0]
+    for r in rows:
+        bounds.append(bounds[-1] + len(r))
+    flat = [x for r in rows for x in r]
+    fields = [kind.value_type.field(k) for k in range(kind.value_type.num_fields)]
+    columns = [pa.array([x[k] for x in flat], f.type) for k, f in enumerate(fields)]
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(columns, fields=fields))
+
+
+def span_lists(rows: list[list[tuple]]):
+    """Spans (pos, txt, etype, layer, prio, seq) of each row as an Arrow array."""
+    import pyarrow as pa
+
+    text, whole = pa.string(), pa.int32()
+    return struct_lists(rows, pa.list_(pa.struct([("pos", whole), ("txt", text), ("etype", text), ("layer", text), ("prio", whole), ("seq", whole)])))

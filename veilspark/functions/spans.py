@@ -1,4 +1,4 @@
-"""Span kernel: where patterns and literals occur in a text, which spans overlap, which of them stay.
+"""Span kernel: the array of spans of a document, as expressions over it and as plain Python for Arrow passes.
 
 A span is a struct of pos (code points from 0), txt, etype, layer, prio, seq; a document's spans are one array in its
 row, so that everything here is a projection without a shuffle.
@@ -6,39 +6,58 @@ row, so that everything here is a projection without a shuffle.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "struct<pos:int,txt:string,etype:string,layer:string,prio:int,seq:int>"
+FIELDS = ("pos", "txt", "etype", "layer", "prio", "seq")
 
 
-def no_spans() -> Column:
-    return F.array().cast(f"array<{SPAN}>")
+class Occupied:
+    """Ranges of a text that are taken; ranges that touch or overlap are held as one, so that a look-up is a bisection."""
 
+    def __init__(self, ranges: Iterable[tuple[int, int]] = ()):
+        self.starts: list[int] = []
+        self.stops: list[int] = []
+        for a, b in sorted(ranges):
+            if self.stops and a <= self.stops[-1]:
+                self.stops[-1] = max(self.stops[-1], b)
+            else:
+                self.starts.append(a)
+                self.stops.append(b)
 
-def end(s: Column) -> Column:
-    return s["pos"] + F.length(s["txt"])
+    def free(self, start: int, stop: int) -> bool:
+        """Whether a range that isn't empty overlaps nothing here."""
+        k = bisect_left(self.starts, stop)
+        return k == 0 or self.stops[k - 1] <= start
 
+    def add(self, start: int, stop: int) -> None:
+        a, b = bisect_left(self.stops, start), bisect_right(self.starts, stop)
+        if a < b:
+            start, stop = min(start, self.starts[a]), max(stop, self.stops[b - 1])
+        self.starts[a:b], self.stops[a:b] = [start], [stop]
 
-def overlap(a: Column, b: Column) -> Column:
-    return (a["pos"] < end(b)) & (b["pos"] < end(a))
+    def take(self, start: int, stop: int) -> bool:
+        """Takes a range if it is free, and says whether it was."""
+        clear = self.free(start, stop)
+        if clear:
+            self.add(start, stop)
+        return clear
 
 
-def hits(text: Column, pattern: Column, group: int = 0) -> Column:
-    """struct(found, gaps) of a pattern: what placed() turns into positions. Make it a column of its own first: it's
-    used several times for each occurrence."""
-    return F.struct(F.regexp_extract_all(text, pattern, F.lit(group)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+def no_spans() -> Column:
+    return F.array().cast(f"array<{SPAN}>")
 
 
-def placed(h: Column) -> Column:
-    """array of struct(pos, txt) from a column of hits()."""
-    at = lambda i: F.length(F.array_join(F.slice(h["gaps"], F.lit(1), i + 1), "")) + F.length(F.array_join(F.slice(h["found"], F.lit(1), i), ""))
-    return F.transform(h["found"], lambda x, i: F.struct(at(i).alias("pos"), x.alias("txt")))
+def end(s: Column) -> Column:
+    return s["pos"] + F.length(s["txt"])
 
 
-def quoted(literal: Column) -> Column:
-    """A regular expression for the literal text of a column."""
-    return F.concat(F.lit("\\Q"), F.replace(literal, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+def overlap(a: Column, b: Column) -> Column:
+    return (a["pos"] < end(b)) & (b["pos"] < end(a))
 
 
 def span(pos: Column, txt: Column, etype, layer: str, prio=0, seq=0) -> Column:
@@ -46,33 +65,6 @@ def span(pos: Column, txt: Column, etype, layer: str, prio=0, seq=0) -> Column:
     return F.struct(pos.cast("int").alias("pos"), txt.alias("txt"), as_col(etype, "string").alias("etype"), F.lit(layer).alias("layer"), as_col(prio, "int").alias("prio"), as_col(seq, "int").alias("seq"))
 
 
-def by_position(spans: Column) -> Column:
-    """Spans by pos, then seq and text."""
-    keyed = F.array_sort(F.transform(spans, lambda s: F.struct(s["pos"].alias("a"), s["seq"].alias("b"), s["etype"].alias("c"), s["txt"].alias("d"), s.alias("s"))))
-    return F.transform(keyed, lambda k: k["s"])
-
-
-def longest_first(spans: Column) -> Column:
-    """Spans by length (long first), then pos, text and type: a total order."""
-    keyed = F.array_sort(F.transform(spans, lambda s: F.struct((-F.length(s["txt"])).alias("a"), s["pos"].alias("b"), s["txt"].alias("c"), s["etype"].alias("d"), s.alias("s"))))
-    return F.transform(keyed, lambda k: k["s"])
-
-
-def greedy(ordered: Column) -> Column:
-    """Of spans in order of precedence those that overlap none that stayed before them."""
-    return F.aggregate(ordered, no_spans(), lambda kept, s: F.when(F.exists(kept, lambda k: overlap(k, s)), kept).otherwise(F.concat(kept, F.array(s))))
-
-
-def without_overlap(spans: Column, occupied: Column) -> Column:
-    """Interval anti-join: the spans that overlap none of occupied."""
-    return F.filter(spans, lambda s: ~F.exists(occupied, lambda o: overlap(s, o)))
-
-
-def fill_gaps(kept: Column, more: Column) -> Column:
-    """kept, and in order those of more that overlap neither it nor what was added before."""
-    return F.aggregate(more, kept, lambda acc, s: F.when(F.exists(acc, lambda k: overlap(k, s)), acc).otherwise(F.concat(acc, F.array(s))))
-
-
 def exploded(df: DataFrame, id_col: str = "doc_id", spans: str = "spans") -> DataFrame:
     """A row for each span: id_col, pos, txt, etype, layer, prio, seq."""
     return df.select(id_col, F.inline(spans))

@@ -1,73 +1,140 @@
-"""Batches: many documents with one dictionary and one mapping, versions of it, refinement, progress and expiry.
+"""Batches: many documents with one dictionary and one mapping, review, versions, refinement, progress and expiry.
 
-exact: documents one after the other in order of idx, each with the names of those before it; a driver loop, as the
-feedback from document to document asks for. global: all documents at once; names are numbered over the whole batch by
-(type, length, name), so that equal names have equal placeholders everywhere and the work is parallel; the numbers
-differ from those of exact.
+in order: documents one after the other in order of idx, each with the names of those before it. A batch is one fold in
+one task, as the feedback from document to document asks for; batches are independent of each other. A document that
+fails is a row with its error, and the others go on. global: all documents at once; names are numbered over the whole
+batch by (type, length, name), so that equal names have equal placeholders everywhere and the work is parallel; the
+numbers differ from those in order.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import masks, spans as sp
-from veilspark.functions.shipping import with_columns_from
-from veilspark.operators.detect import detect
-
-MAPPING = "map<string,struct<type:string,original:string,is_abbreviation:boolean,full_name:string,full_placeholder:string>>"
-
-
-def run_exact(items: DataFrame, dictionary: Sequence[tuple[str, str]] = (), mapping: dict | None = None, style: str = "english_bracket", overrides: dict[str, str] | None = None, **how) -> tuple[list[dict], dict]:
-    """items (idx, text) to (rows with idx, masked_text, used placeholders; the mapping after all of them).
-
-    For batches of some hundred documents: their rows and the mapping are in the driver's memory.
-    """
-    mapping, out = dict(mapping or {}), []
-    for item in items.orderBy("idx").toLocalIterator():
-        known = [(v["type"], v["original"]) for v in mapping.values()]
-        one = items.sparkSession.createDataFrame([(item["idx"], item["text"], mapping)], f"idx long, text string, seed {MAPPING}")
-        done = masks.masked(detect(one, [*dictionary, *known], **how), seed="seed" if mapping else None, style=style, overrides=overrides, everything=None, abbreviations="abbreviations").first()
-        new = {k: v.asDict() for k, v in done["mapping"].items()}
-        mapping |= new
-        out.append({"idx": item["idx"], "masked_text": done["masked_text"], "placeholders": sorted({r["masked_text"] for r in done["log"]})})
-    return out, mapping
-
-
-def _longest(spans: list[dict]) -> list[dict]:
+from veilspark.functions.shipping import ship, span_lists, tuples, with_columns_from
+from veilspark.functions.spans import Occupied
+from veilspark.operators.detect import Layers, detect
+
+MAPPING = f"map<string,{masks.FACT}>"
+#: Names that are broadcast in global mode: the most frequent ones; the others have few rows each.
+FREQUENT = 4096
+
+
+def masked_in_order(items: DataFrame, by: str = "batch", dictionary: Sequence[tuple[str, str]] = (), mapping: dict | None = None, scoped: dict[int, Sequence[tuple[str, str]]] | None = None, excluded: dict[int, Sequence[tuple[str, str]]] | None = None, style: str = "english_bracket", overrides: dict[str, str] | None = None, everything: str | None = None, **how) -> DataFrame:
+    """items (by, idx, text) to by, idx, status (done or error), error, masked_text, placeholders (used in it, ascending),
+    mapping (its own entries). mapping: what all batches start with; scoped, excluded: (type, name) added to, or taken
+    from, what is found in the document with an idx. A batch's texts and mapping are in the memory of its task."""
+    ship(items.sparkSession)
+    if style not in masks.STYLES:
+        raise ValueError(f"style is one of {tuple(masks.STYLES)}")
+    chosen, first, extra, gone = masks.strategies(overrides, everything), dict(mapping or {}), dict(scoped or {}), {k: set(v) for k, v in (excluded or {}).items()}
+    entries = list(dict.fromkeys(dictionary))
+
+    def fold(pdf):
+        import pandas as pd
+
+        known, rows = dict(first), []
+        for item in pdf.sort_values("idx").itertuples(index=False):
+            idx, text = int(item.idx), item.text if isinstance(item.text, str) else ""
+            try:
+                wanted = [*entries, *extra.get(idx, ()), *((v["type"], v["original"]) for v in known.values())]
+                spans, short = Layers([(t, n) for t, n in wanted if n and n in text], **how)([text])[0]
+                spans = [s[:3] for s in spans if (s[2], s[1]) not in gone.get(idx, ())]
+                out, facts, log = masks.mask_one(text, spans, chosen, style, {k: (v["type"], v["original"]) for k, v in known.items()}, short)
+                mine = {x["masked_text"] for x in log}
+                known |= {k: v for k, v in facts.items() if k in mine or k not in known}
+                rows.append((getattr(item, by), idx, "done", None, out, sorted(mine), {k: v for k, v in facts.items() if k in mine}))
+            except Exception as e:  # one document's failure is its own
+                rows.append((getattr(item, by), idx, "error", f"{type(e).__name__}: {e}"[:500], None, [], {}))
+        return pd.DataFrame(rows, columns=[by, "idx", "status", "error", "masked_text", "placeholders", "mapping"])
+
+    kind = dict(items.dtypes)[by]
+    schema = f"{by} {kind}, idx long, status string, error string, masked_text string, placeholders array<string>, mapping {MAPPING}"
+    return items.select(by, F.col("idx").cast("long").alias("idx"), "text").groupBy(by).applyInPandas(fold, schema)
+
+
+def run_exact(items: DataFrame, dictionary: Sequence[tuple[str, str]] = (), mapping: dict | None = None, **how) -> tuple[list[dict], dict]:
+    """One batch (idx, text) to (rows with idx, status, error, masked_text, placeholders; the mapping after all of them).
+    For batches of some hundred documents: their rows and the mapping are in the driver's memory."""
+    rows, known = [], dict(mapping or {})
+    for r in masked_in_order(items.withColumn("batch", F.lit(0)), "batch", dictionary, mapping, **how).orderBy("idx").collect():
+        known |= {k: v.asDict() for k, v in (r["mapping"] or {}).items()}
+        rows.append({k: r[k] for k in ("idx", "status", "error", "masked_text", "placeholders")})
+    return rows, known
+
+
+def reviewed(found: DataFrame, review: DataFrame) -> tuple[dict[int, list], dict[int, list]]:
+    """(scoped, excluded) for masked_in_order() from a review (idx, action, type, name, new_name): deleted findings are taken
+    away; edited ones too, and their new names are added to the same document; custom names are added. Findings that a
+    review names but that weren't found change nothing. Reviews are as many as a person makes."""
+    scoped: dict[int, list] = {}
+    excluded: dict[int, list] = {}
+    had = review.join(found.select("idx", "type", F.col("text").alias("name")).distinct().withColumn("had", F.lit(True)), ["idx", "type", "name"], "left")
+    for r in had.orderBy("idx", "type", "name").collect():
+        if r.action in ("deleted", "edited") and r.had:
+            excluded.setdefault(r.idx, []).append((r.type, r.name))
+        if r.action == "edited" and r.had and (r.new_name or "").strip():
+            scoped.setdefault(r.idx, []).append((r.type, r.new_name.strip()))
+        if r.action == "custom" and (r.name or "").strip():
+            scoped.setdefault(r.idx, []).append((r.type or "other", r.name.strip()))
+    return scoped, excluded
+
+
+def _longest(spans: list[tuple]) -> list[tuple]:
     """Spans that stay where longer ones, then earlier ones, come first."""
-    kept: list[dict] = []
-    for s in sorted(spans, key=lambda s: (-len(s["txt"]), s["pos"], s["txt"], s["etype"])):
-        if all(s["pos"] + len(s["txt"]) <= k["pos"] or k["pos"] + len(k["txt"]) <= s["pos"] for k in kept):
-            kept.append(s)
-    return kept
+    taken = Occupied()
+    return [s for s in sorted(spans, key=lambda s: (-len(s[1]), s[0], s[1], s[2])) if taken.take(s[0], s[0] + len(s[1]))]
 
 
 def run_global(items: DataFrame, dictionary: Sequence[tuple[str, str]] = (), style: str = "english_bracket", id_col: str = "idx", **how) -> tuple[DataFrame, DataFrame]:
     """(id_col, masked_text; mapping rows placeholder, type, original): one pass to detect, one shuffle by name to number.
+    All spans become placeholders; rows that share an id are rows of their own.
 
-    Numbers are ranks within a label by two steps (counts of blocks of names, then within a block), so that no task
-    holds all names of a label.
+    Numbers are ranks within a label by two steps (counts of blocks of names, then within a block), so that no task holds
+    all names of a label. Detection runs once: its result is checkpointed, or kept on disk where no folder is set.
     """
-    df = detect(items, dictionary, **how)
-    df = with_columns_from(df, ["spans"], f"sel array<{sp.SPAN}>", lambda rows: [[_longest(r or []) for r in rows]])
+    df = detect(items.select(id_col, "text"), dictionary, **how)
+    df = with_columns_from(df, ["spans"], f"sel array<{sp.SPAN}>", lambda rows: [span_lists([_longest(r) for r in tuples(rows, *sp.FIELDS)])])
+    df = df.select(id_col, "text", "sel").withColumn("_row", F.monotonically_increasing_id())
+    sc = items.sparkSession.sparkContext
+    df = df.persist(StorageLevel.DISK_ONLY) if sc._jsc.sc().getCheckpointDir().isEmpty() else df.checkpoint()
     label = masks._lookup(masks.labels(style), F.col("etype"), "UNKNOWN")
-    names = sp.exploded(df, id_col, "sel").select("etype", "txt").distinct().withColumn("label", label).withColumn("block", F.pmod(F.xxhash64("etype", "txt"), F.lit(1024)))
+    names = df.select(F.inline("sel")).groupBy("etype", "txt").agg(F.count("*").alias("uses"))
+    names = names.withColumn("label", label).withColumn("block", F.pmod(F.xxhash64("etype", "txt"), F.lit(1024)))
     before = names.groupBy("label", "block").agg(F.count("*").alias("n"))
     before = before.select("label", "block", F.coalesce(F.sum("n").over(Window.partitionBy("label").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     number = F.col("before") + F.row_number().over(Window.partitionBy("label", "block").orderBy(F.length("txt").desc(), "txt", "etype"))
     left, right = masks.STYLES[style]
     sep = "_" if style == "english_bracket" else ""
-    mapping = names.join(before, ["label", "block"]).select(F.concat(F.lit(left), "label", F.lit(sep), number.cast("string"), F.lit(right)).alias("placeholder"), F.col("etype").alias("type"), F.col("txt").alias("original"))
-    used = df.select(id_col, F.inline("sel")).join(mapping, (F.col("etype") == F.col("type")) & (F.col("txt") == F.col("original")))
-    used = used.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "txt", F.col("placeholder").alias("m")))).alias("r"))
-    text = F.col("text")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda a, r: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, r["pos"] - a["at"]), r["m"]).alias("out"), (r["pos"] + F.length(r["txt"])).alias("at"))
-    spliced = F.aggregate("r", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return items.join(used, id_col, "left").select(id_col, F.when(F.col("r").isNotNull(), spliced).otherwise(text).alias("masked_text")), mapping
+    numbered = names.join(before, ["label", "block"]).select(F.concat(F.lit(left), "label", F.lit(sep), number.cast("string"), F.lit(right)).alias("placeholder"), F.col("etype").alias("type"), F.col("txt").alias("original"), "uses")
+    rows = df.select("_row", F.inline("sel"))
+    same = (F.col("etype") == F.col("type")) & (F.col("txt") == F.col("original"))
+    often = numbered.orderBy(F.desc("uses"), "type", "original").limit(FREQUENT)  # the others meet their rows in a shuffle
+    rest = rows.join(F.broadcast(often), same, "left_anti").join(numbered, same)
+    used = rows.join(F.broadcast(often), same).unionByName(rest)
+    used = used.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", "txt", F.col("placeholder").alias("m")))).alias("r"))
+
+    def spliced(texts, marks):
+        out = []
+        for t, ms in zip(texts.to_pylist(), tuples(marks, "pos", "txt", "m"), strict=True):
+            if t is None or not ms:
+                out.append(t)
+                continue
+            at, parts = 0, []
+            for p, x, m in ms:
+                parts += [t[at:p], m]
+                at = p + len(x)
+            out.append("".join([*parts, t[at:]]))
+        return [out]
+
+    out = with_columns_from(df.select("_row", id_col, "text").join(used, "_row", "left"), ["text", "r"], "masked_text string", spliced)
+    return out.select(id_col, "masked_text"), numbered.select("placeholder", "type", "original")
 
 
 def updated(mapping: DataFrame, new: DataFrame) -> DataFrame:
@@ -87,6 +154,35 @@ def refined(items: DataFrame, dictionary: Sequence[tuple[str, str]], mapping: di
     return rows, mapping, wider
 
 
+def mapping_document(mapping: dict, batch_id: str, version: int) -> str:
+    """The exported mapping of a version as JSON: format_version 2, no contexts."""
+    facts = ("type", "original", "is_abbreviation", "full_name", "full_placeholder")
+    return json.dumps({"format_version": 2, "batch_id": batch_id, "version": version, "mapping": {k: {f: v.get(f) for f in facts} for k, v in sorted(mapping.items())}}, ensure_ascii=False, indent=1)
+
+
+class History:
+    """A batch's versions: rows, mapping and dictionary of each; originals are masked again for every version."""
+
+    def __init__(self, items: DataFrame, dictionary: Sequence[tuple[str, str]] = (), **how):
+        self.items, self.how = items, how
+        rows, mapping = run_exact(items, dictionary, **how)
+        self.versions = [{"version": 1, "rows": {r["idx"]: r for r in rows}, "mapping": mapping, "dictionary": list(dictionary)}]
+        self.running = False
+
+    def refine(self, additions: Sequence[tuple[str, str]], targets: Sequence[int] | None = None) -> dict:
+        """The next version; documents that aren't targets keep their rows. RuntimeError while another one is made."""
+        if self.running:
+            raise RuntimeError("a version is being made")
+        self.running = True
+        try:
+            last = self.versions[-1]
+            rows, mapping, wider = refined(self.items, last["dictionary"], last["mapping"], additions, targets, **self.how)
+            self.versions.append({"version": last["version"] + 1, "rows": last["rows"] | {r["idx"]: r for r in rows}, "mapping": mapping, "dictionary": wider})
+            return self.versions[-1]
+        finally:
+            self.running = False
+
+
 def relations_cleaned(rel: DataFrame) -> DataFrame:
     """type, full_name, abbreviation: trimmed, under 501 characters, different from each other, once each."""
     t = rel.select(*(F.trim(c).alias(c) for c in ("type", "full_name", "abbreviation")))
@@ -109,10 +205,23 @@ def unexpired(rows: DataFrame, ts: str, now, hours: dict[str, float], kind: str)
 
 
 def restore_report(texts: DataFrame, mapping: Sequence[tuple[str, str]], id_col: str = "idx", text_col: str = "text") -> DataFrame:
-    """id_col, restored_text, occurrences (of the placeholders of one dictionary) for many files."""
-    order = sorted({p: o for p, o in mapping if o}.items(), key=lambda x: (-len(x[0]), x[0]))
-    count, out = F.lit(0).cast("long"), F.col(text_col)
-    for p, o in order:
-        count = count + (F.length(F.col(text_col)) - F.length(F.replace(F.col(text_col), F.lit(p), F.lit("")))) / len(p)
-        out = F.replace(out, F.lit(p), F.lit(o))
-    return texts.select(id_col, out.alias("restored_text"), count.cast("long").alias("occurrences"))
+    """id_col, restored_text, occurrences (of the placeholders of one dictionary) for many texts: placeholders are replaced
+    one after the other, longer ones first, as in restored(); only those that a text holds cost anything."""
+    order = sorted({p: o for p, o in mapping if p and o}.items(), key=lambda x: (-len(x[0]), x[0]))
+    brackets = sorted({p[0] for p, _ in order})
+
+    def run(rows):
+        texts, counts = [], []
+        for t in rows.to_pylist():
+            if t is not None and any(b in t for b in brackets):
+                held = [(p, o, t.count(p)) for p, o in order if p in t]
+                n = sum(k for *_, k in held)
+                for p, o, _ in held:
+                    t = t.replace(p, o)
+            else:
+                n = 0
+            texts.append(t)
+            counts.append(n)
+        return [texts, counts]
+
+    return with_columns_from(texts.select(id_col, F.col(text_col).alias("_text")), ["_text"], "restored_text string, occurrences long", run).drop("_text")

@@ -1,7 +1,6 @@
 """Detection: dictionary, pattern, rule-entity and model layers fused into one array of spans in each document's row.
 
-Everything is a projection: no layer shuffles. Patterns are expressions; dictionaries, and the entity rules, with fusion
-and expansion behind them, are one pass in Arrow batches, so that a text crosses to Python once. entities=False leaves it out.
+One pass in Arrow batches, without a shuffle: a text crosses to Python once and meets all layers there.
 """
 
 from __future__ import annotations
@@ -11,9 +10,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.shipping import with_columns_from
 from veilspark.functions import names, patterns, spans as sp
-from veilspark.operators import dictionary as dic
+from veilspark.functions.shipping import span_lists, with_columns_from
+from veilspark.functions.spans import Occupied
+from veilspark.operators.dictionary import Search
 
 #: A model layer: texts to lists of (position, text, type); runs in Python workers.
 Detector = Callable[[list[str]], list[list[tuple[int, str, str]]]]
@@ -36,65 +36,75 @@ def model_wins(model: tuple[int, str, str], rule: tuple[int, str, str]) -> bool:
 
 def arbitrated(rules: list[tuple[int, str, str]], model: list[tuple[int, str, str]]) -> list[tuple[int, str, str]]:
     """rules with each of model's spans that overlaps nothing, or wins against all that it overlaps (these go)."""
-    out = list(rules)
+    at = lambda s: (s[0], s[0] + len(s[1]))
+    out, taken = dict.fromkeys(rules), Occupied(map(at, rules))
     for m in model:
-        met = [r for r in out if m[0] < r[0] + len(r[1]) and r[0] < m[0] + len(m[1])]
+        a, b = at(m)
+        met = [] if taken.free(a, b) else [r for r in out if a < r[0] + len(r[1]) and r[0] < b]
         if all(model_wins(m, r) for r in met):
-            out = [r for r in out if r not in met] + [m]
-    return out
+            for r in met:
+                del out[r]
+            out[m] = None
+            taken.add(a, b)
+    return list(out)
 
 
 def filled(kept: list[tuple[int, str, str]], more: list[tuple[int, str, str]]) -> list[tuple[int, str, str]]:
     """kept and, in order, those of more that overlap nothing so far."""
-    out = list(kept)
-    for m in more:
-        if all(m[0] + len(m[1]) <= r[0] or r[0] + len(r[1]) <= m[0] for r in out):
-            out.append(m)
-    return out
+    taken = Occupied((p, p + len(t)) for p, t, _ in kept)
+    return [*kept, *(m for m in more if taken.take(m[0], m[0] + len(m[1])))]
+
+
+class Layers:
+    """All layers over a batch of texts; see detect()."""
+
+    def __init__(self, dictionary: Sequence[tuple[str, str]] = (), only: list[str] | None = None, exclude: list[str] | None = None, entities: bool = True, arbiter: Detector | None = None, detectors: Sequence[Detector] = (), expand: bool = True, surnames: str = names.SURNAMES):
+        self.search, self.specs = Search(dictionary, only, exclude), patterns.selected(only, exclude)
+        self.only, self.exclude, self.manual = set(only or ()), set(exclude or ()), tuple(dictionary)
+        self.entities, self.arbiter, self.detectors, self.expand, self.surnames = entities, arbiter, tuple(detectors), expand, surnames
+
+    def __call__(self, texts: list[str]) -> list[tuple[list[tuple], dict[str, str]]]:
+        """(spans by position, abbreviation -> full name) of each text."""
+        ask = lambda m: m(texts) if m else [()] * len(texts)
+        first, later = ask(self.arbiter), [ask(m) for m in self.detectors]
+        return [self._one(t, first[k], [m[k] for m in later]) for k, t in enumerate(texts)]
+
+    def _one(self, text: str, first, later) -> tuple[list[tuple], dict[str, str]]:
+        custom, pattern = self.search(text), patterns.scan(text, self.specs) if text else []
+        reserved = Occupied((s[0], s[0] + len(s[1])) for s in custom)
+        clear = lambda xs: [x for x in xs if reserved.free(x[0], x[0] + len(x[1]))] if custom else list(xs)
+        if not self.entities and not first and not any(later):
+            return sorted([*custom, *clear(pattern)], key=lambda s: (s[0], s[5], s[2], s[1])), {}
+        own, layer = [s[:3] for s in custom], {s[:3]: s for s in pattern}
+        found, short = names.auto_entities(text, self.only, self.exclude, self.manual, self.surnames) if self.entities else (set(), {})
+        wanted = {(n, t) for t, n in self.search.wanted} if self.entities else set()
+        hits = own + clear([*layer, *(x for x in names.located(text, found | wanted) if x not in layer)])
+        if first:
+            hits = arbitrated(hits, list(first))
+        for m in later:
+            hits = filled(hits, list(m))
+        if self.expand and self.entities and hits:
+            hits = hits + names.expanded(text, hits)
+        mine = set(own)
+        hits = dict.fromkeys([*own, *(x for x in clear(hits) if x not in mine)])
+        return [(*x, "custom", 0, 0) if x in mine else layer.get(x, (*x, "entity", 9, 99)) for x in sorted(hits)], short
 
 
 def detect(df: DataFrame, dictionary: Sequence[tuple[str, str]] = (), only: list[str] | None = None, exclude: list[str] | None = None, entities: bool = True, arbiter: Detector | None = None, detectors: Sequence[Detector] = (), expand: bool = True, text_col: str = "text", surnames: str = names.SURNAMES) -> DataFrame:
     """df with spans (by position) and abbreviations (map of short to full names).
 
-    Order of the layers: dictionary (always wins), patterns, rule entities; the arbiter's spans may replace rule spans;
-    detectors fill gaps; known names and brands spread to their other occurrences. Patterns and entities may overlap
-    each other: masking decides. only and exclude act on pattern types, and on company (all organisations) and person.
+    Order of the layers: dictionary (always wins), patterns, rule entities (unless entities is False); the arbiter's spans
+    may replace rule spans; detectors fill gaps; known names and brands spread to their other occurrences. Patterns and
+    entities may overlap each other: masking decides. only and exclude act on pattern types, and on company (all
+    organisations) and person.
     """
-    df = dic.with_dictionary_spans(df, list(dictionary), text_col, only, exclude, "_d_custom")
-    df = patterns.with_pattern_spans(df, text_col, only, exclude, "_d_pattern")
-    if not entities:
-        rest = sp.without_overlap(F.col("_d_pattern"), F.col("_d_custom"))
-        return df.withColumns({"spans": sp.by_position(F.concat("_d_custom", rest)), "abbreviations": F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))}).drop("_d_custom", "_d_pattern")
-
-    allowed, barred, manual = set(only or ()), set(exclude or ()), tuple((t, n) for t, n in dictionary)
-    models = tuple(detectors)
-    wanted = {(n, kind) for kind, n in manual if n and (not allowed or kind in allowed) and kind not in barred}
-
-    def fused(texts, custom, pattern):
-        texts = [t or "" for t in texts]
-        ask = lambda m: m(texts) if m else [[] for _ in texts]
-        first, later = ask(arbiter), [ask(m) for m in models]
-        rows, shorts = [], []
-        for k, t in enumerate(texts):
-            own = [(s["pos"], s["txt"], s["etype"]) for s in custom[k]]
-            clear = lambda xs, own=own: [x for x in xs if all(x[0] + len(x[1]) <= o[0] or o[0] + len(o[1]) <= x[0] for o in own)]
-            layer = {(s["pos"], s["txt"], s["etype"]): ("pattern", s["prio"], s["seq"]) for s in pattern[k]}
-            found, short = names.auto_entities(t, allowed, barred, manual, surnames)
-            hits = own + clear([*layer, *[x for x in names.located(t, found | wanted) if x not in layer]])
-            if arbiter:
-                hits = arbitrated(hits, first[k])
-            for m in later:
-                hits = filled(hits, m[k])
-            if expand and hits:
-                hits = hits + names.expanded(t, hits)
-            hits = own + [x for x in clear(hits) if x not in own]
-            source = lambda x, own=own, layer=layer: ("custom", 0, 0) if x in own else layer.get(x, ("entity", 9, 99))
-            rows.append([dict(zip(("pos", "txt", "etype", "layer", "prio", "seq"), (*x, *source(x)), strict=True)) for x in sorted(dict.fromkeys(hits))])
-            shorts.append(list(short.items()))
-        return [rows, shorts]
-
-    out = with_columns_from(df, [text_col, "_d_custom", "_d_pattern"], f"spans array<{sp.SPAN}>, abbreviations map<string,string>", fused)
-    return out.drop("_d_custom", "_d_pattern")
+    layers = Layers(dictionary, only, exclude, entities, arbiter, detectors, expand, surnames)
+
+    def found(texts):
+        rows = layers([t or "" for t in texts.to_pylist()])
+        return [span_lists([s for s, _ in rows]), [list(short.items()) for _, short in rows]]
+
+    return with_columns_from(df, [text_col], f"spans array<{sp.SPAN}>, abbreviations map<string,string>", found)
 
 
 def without_excluded(df: DataFrame, excluded: Sequence[tuple[str, str]], spans: str = "spans") -> DataFrame:

@@ -242,12 +242,11 @@ def custom_first(spark, sf):
 
 @query(f"SELECT {K} AS doc_id, 'phone' AS etype, {_PHONE} AS txt FROM customer UNION ALL SELECT {K}, 'word', '邮编' FROM customer")
 def fill_gaps(spark, sf):
-    df = patterns.with_pattern_spans(_fixture(spark, sf, "contacts"), only=["phone"], into="rules")
-    df = dictionary.with_dictionary_spans(df, [("word", "13"), ("word", "邮编")], into="more")
-    # the shorter one begins the phone number: it finds no gap there
-    near = F.filter("more", lambda s: s["pos"] == F.get("rules", F.lit(0))["pos"])
-    far = F.filter("more", lambda s: s["txt"] == "邮编")
-    return sp.exploded(df.withColumn("spans", sp.fill_gaps(F.col("rules"), F.concat(near, far)))).select("doc_id", "etype", "txt")
+    """A model's spans only fill gaps: 13 lies in the phone number."""
+    layer = models.stub_detector({"13": "word", "邮编": "word"})
+    df = detect(_fixture(spark, sf, "contacts"), only=["phone"], detectors=[layer], entities=False)
+    keep = F.filter("spans", lambda s: (s["etype"] == "phone") | (s["txt"] == "邮编") | s["txt"].isNull())
+    return sp.exploded(df.withColumn("spans", keep)).select("doc_id", "etype", "txt")
 
 
 @query(f"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_EMAIL}')) AS text FROM documents), o AS (SELECT DISTINCT * FROM a WHERE doc_id % 3 <> 0), n AS (SELECT DISTINCT * FROM a WHERE doc_id % 3 <> 1)

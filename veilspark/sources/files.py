@@ -83,8 +83,8 @@ def docx_replaced(data: bytes, replacements: list[tuple[str, str]]) -> bytes:
     return out.getvalue()
 
 
-def read_files(spark: SparkSession, path: str, readers: Mapping[str, Callable[[bytes], str]] | None = None, largest: int = LARGEST) -> DataFrame:
-    """path, suffix, length, text, error of all files under path. Larger files and unknown kinds without readable text
+def read_files(spark: SparkSession, path: str, readers: Mapping[str, Callable[[bytes], str]] | None = None, largest: int = LARGEST, content: bool = False) -> DataFrame:
+    """path, suffix, length, text, error (and content, if asked for) of all files under path. Larger files and unknown kinds without readable text
     have an error."""
 
     own = dict(readers or {})
@@ -104,14 +104,78 @@ def read_files(spark: SparkSession, path: str, readers: Mapping[str, Callable[[b
             return None, f"{type(e).__name__}: {e}"
 
     def extracted(kinds, contents):
-        rows = [one(k, c) for k, c in zip(kinds, contents, strict=True)]
+        rows = [one(k, c) for k, c in zip(kinds.to_pylist(), contents.to_pylist(), strict=True)]
         return [[t for t, _ in rows], [e for _, e in rows]]
 
-    files = spark.read.format("binaryFile").load(path)
+    # the size is tested before contents are read: only files of the right size are opened
+    listed = spark.read.format("binaryFile").load(path)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./\\]+)$", 1))
-    small = F.when(F.col("length") <= largest, F.col("content"))
-    out = with_columns_from(files.select("path", suffix.alias("suffix"), "length", small.alias("content")), ["suffix", "content"], "raw string, error string", extracted)
-    return out.select("path", "suffix", "length", normalize.joined_lines(F.col("raw")).alias("text"), "error")
+    small = listed.filter(F.col("length") <= largest).select("path", suffix.alias("suffix"), "length", "content")
+    large = listed.filter(F.col("length") > largest).select("path", suffix.alias("suffix"), "length", F.lit(None).cast("binary").alias("content"))
+    out = with_columns_from(small.unionByName(large), ["suffix", "content"], "raw string, error string", extracted)
+    return out.select("path", "suffix", "length", normalize.joined_lines(F.col("raw")).alias("text"), "error", *(["content"] if content else []))
+
+
+def converted(commands: list[list[str]], timeouts: tuple[float, ...] = (30, 30, 60)) -> Callable[[bytes], str]:
+    """A reader for old DOC files by programs on the executors, the first that succeeds: each command has {file} where the
+    input's name goes and writes text to its output. Raises OSError if none does."""
+
+    def read(data: bytes) -> str:
+        import subprocess
+        import tempfile
+
+        with tempfile.NamedTemporaryFile(suffix=".doc") as f:
+            f.write(data)
+            f.flush()
+            for command, limit in zip(commands, timeouts, strict=False):
+                try:
+                    done = subprocess.run([x.replace("{file}", f.name) for x in command], capture_output=True, timeout=limit, check=True)
+                    if done.stdout.strip():
+                        return plain_text(done.stdout)
+                except (OSError, subprocess.SubprocessError):
+                    continue
+        raise OSError("no converter gave a text")
+
+    return read
+
+
+# Scores above which an engine's lines stay, and whether all stay if none does.
+ENGINE_LINES = {"rapid": (0.5, True), "paddle": (0.6, False)}
+
+
+def recognised(engines: Mapping[str, Callable[[bytes], list[tuple[str, float]]]], wanted: str) -> Callable[[bytes], str]:
+    """A reader for images by engines (name -> function from an image to lines with scores): the wanted one first, then the
+    others in order; one that fails or finds nothing gives way to the next, and without any the text is empty."""
+    order = [wanted, *(n for n in engines if n != wanted)]
+
+    def read(data: bytes) -> str:
+        for name in order:
+            try:
+                lines = engines[name](data)
+            except Exception:
+                continue
+            least, fallback = ENGINE_LINES.get(name, (0.0, True))
+            good = [t for t, score in lines if score > least] or [t for t, _ in lines if fallback]
+            if any(t.strip() for t in good):
+                return "\n".join(good)
+        return ""
+
+    return read
+
+
+def paged(pages: Callable[[bytes], list[tuple[str, Callable[[], bytes]]]], ocr: Callable[[bytes], str] | None = None, use_ocr: bool = False) -> Callable[[bytes], str]:
+    """A reader for PDF files: pages gives each page's native text and a function that renders it. A page goes to ocr if
+    that is asked for and it has under 200 characters, or under 50 without asking."""
+
+    def read(data: bytes) -> str:
+        out = []
+        for native, render in pages(data):
+            n = len(native.strip())
+            seen = ocr(render()) if ocr is not None and n < 200 and (use_ocr or n < 50) else ""
+            out.append(seen if seen.strip() else native)
+        return "\n\n".join(out)
+
+    return read
 
 
 def inbox(spark: SparkSession, path: str) -> DataFrame:
@@ -128,9 +192,15 @@ def accepted(files: DataFrame, largest: int = LARGEST) -> DataFrame:
 
 
 def peek(text, most: int = 3000):
+    """The start of a text that tells its language."""
     return F.substring(text, 1, most)
 
 
+def peek_parts(parts, first: int, most: int = 3000):
+    """The same of a document in parts: the first 3 pages, or the first 80 paragraphs."""
+    return F.substring(F.array_join(F.slice(parts, 1, first), "\n"), 1, most)
+
+
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """type, name of a JSON list of entities."""
     return spark.read.schema("type string, name string, item_indices array<int>").option("multiLine", True).json(path)
@@ -142,8 +212,10 @@ def parse_dictionary(text: str | None) -> list[tuple[str, str]]:
     return list(dict.fromkeys((r.get("type", "unknown"), r["name"]) for r in rows if r.get("name")))
 
 
-def corpus_list(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.trim("value").alias("path")).filter("path <> '' and not startswith(path, '#')")
+def corpus_list(spark: SparkSession, path: str, there: DataFrame | None = None) -> DataFrame:
+    """path of a list of files without blank lines and comments; with there (path) only files that are in it."""
+    listed = spark.read.text(path).select(F.trim("value").alias("path")).filter("path <> '' and not startswith(path, '#')")
+    return listed if there is None else listed.join(there.select("path").distinct(), "path", "left_semi")
 
 
 def scanned(pages: DataFrame, by: str = "doc_id", first: int = 3, threshold: int = 80) -> DataFrame:
@@ -152,6 +224,11 @@ def scanned(pages: DataFrame, by: str = "doc_id", first: int = 3, threshold: int
     return early.groupBy(by).agg((F.sum(F.length(F.trim("native_text"))) < threshold * F.count("*")).alias("is_scanned"))
 
 
+def scanned_in_all(pages: DataFrame, by: str = "doc_id", most: int = 100) -> DataFrame:
+    """by, is_scanned: no more than most characters over all pages."""
+    return pages.groupBy(by).agg((F.sum(F.length(F.trim(F.coalesce("native_text", F.lit(""))))) <= most).alias("is_scanned"))
+
+
 def rejoined_pages(pages: DataFrame, by: str = "doc_id") -> DataFrame:
     """by, text: a document's pages in order, with an empty line between."""
     rows = pages.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("page_num", "native_text"))).alias("p"))

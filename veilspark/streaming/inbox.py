@@ -16,18 +16,26 @@ def text_stream(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataF
     return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def masked_stream(docs: DataFrame, everything: str | None = None, **how) -> DataFrame:
-    """docs with masked_text, mapping and log; legal in append mode. Names are numbered within a document."""
+def masked_stream(docs: DataFrame, everything: str | None = None, mapping: bool = False, **how) -> DataFrame:
+    """path and masked_text, without originals; legal in append mode. Names are numbered within a document. mapping: adds
+    the mapping, for a sink of its own (see split_sink())."""
     style = how.pop("style", "english_bracket")
-    return masks.masked(detect(docs, **how), style=style, everything=everything, abbreviations="abbreviations").drop("spans", "abbreviations")
+    out = masks.masked(detect(docs, **how), style=style, everything=everything, abbreviations="abbreviations")
+    return out.select("path", "masked_text", *(["mapping"] if mapping else []))
 
 
-def merged_mapping(path: str):
-    """A foreachBatch function: adds each batch's mapping rows to a table, a folder for each batch, so that a batch that
-    is run again replaces itself."""
+def split_sink(texts: str, mappings: str | None = None):
+    """A foreachBatch function: masked texts go to a folder, the mapping (if a folder is given) to another one; a folder for
+    each batch, so that a batch that is run again replaces itself."""
+    if mappings is not None and (mappings.rstrip("/") + "/").startswith(texts.rstrip("/") + "/"):
+        raise ValueError("the mapping must not be in the folder of the masked texts")
 
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.select("path", F.explode("mapping").alias("placeholder", "v")).select("path", "placeholder", "v.type", "v.original")
-        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        batch.select("path", "masked_text").write.mode("overwrite").parquet(f"{texts}/batch={number}")
+        if mappings is not None:
+            rows = batch.select("path", F.explode("mapping").alias("placeholder", "v")).select("path", "placeholder", "v.type", "v.original")
+            rows.write.mode("overwrite").parquet(f"{mappings}/batch={number}")
+        batch.unpersist()
 
-    return merge
+    return write
