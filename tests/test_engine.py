@@ -234,14 +234,13 @@ def test_spans_are_extended_to_the_end_of_their_characters(spark):
 def test_pages_are_routed_by_their_whole_text(spark, tmp_path):
     from veilspark.plans import catalogue
 
-    # (page_id, html): 300 and 170 were cut to nothing by scan_route and scanned_classifier
-    pages = [(300, "x" * 1000), (170, "x" * 1000), (2, ""), (4, "x" * 199), (6, " " + "x" * 200 + "\n"), (1, "x" * 49), (3, "x" * 50), (5, " " * 300)]
-    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = [(300, "x" * 1000), (170, "x" * 100), (2, ""), (4, "x" * 199), (6, " " + "x" * 200 + "\n"), (1, "x" * 49), (3, "x" * 50), (5, " " * 300), (7, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     q = catalogue.queries()
-    routes = {r.page_id: r.route for r in q["scan_route_whole"](spark, str(tmp_path)).collect()}
-    assert routes == {300: "native", 170: "native", 2: "ocr", 4: "ocr", 6: "native", 1: "ocr", 3: "native", 5: "ocr"}
-    kinds = {r.doc_id: r.is_scanned for r in q["scanned_classifier_whole"](spark, str(tmp_path)).collect()}
-    assert kinds == {20: False, 10: False, 2: True, 6: False, 1: True, 5: True}
+    routes = {r.doc_id: r.route for r in q["scan_route"](spark, str(tmp_path)).collect()}
+    assert routes == {300: "native", 170: "ocr", 2: "ocr", 4: "ocr", 6: "native", 1: "ocr", 3: "native", 5: "ocr", 7: "ocr"}
+    kinds = {r.doc_id: r.is_scanned for r in q["scanned_classifier"](spark, str(tmp_path)).collect()}
+    assert kinds == {100: False, 56: False, 0: True, 1: False, 2: False}
 
 
 def test_model_spans_are_tested(spark):

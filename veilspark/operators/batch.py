@@ -92,27 +92,34 @@ def _longest(spans: list[tuple]) -> list[tuple]:
     return [s for s in sorted(spans, key=lambda s: (-len(s[1]), s[0], s[1], s[2])) if taken.take(s[0], s[0] + len(s[1]))]
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df worked out once: checkpointed, or kept on the executors' disks where spark.checkpoint.dir isn't set."""
+    sc = df.sparkSession.sparkContext
+    return df.persist(StorageLevel.DISK_ONLY) if sc._jsc.sc().getCheckpointDir().isEmpty() else df.checkpoint()
+
+
 def run_global(items: DataFrame, dictionary: Sequence[tuple[str, str]] = (), style: str = "english_bracket", id_col: str = "idx", **how) -> tuple[DataFrame, DataFrame]:
     """(id_col, masked_text; mapping rows placeholder, type, original): one pass to detect, one shuffle by name to number.
     All spans become placeholders; rows that share an id are rows of their own.
 
-    Numbers are ranks within a label by two steps (counts of blocks of names, then within a block), so that no task holds
-    all names of a label. Detection runs once: its result is checkpointed, or kept on disk where no folder is set.
+    Numbers are ranks within a label by (length, long first, name, type), in two steps (counts of ranges of names, then
+    within a range), so that no task holds all names of a label. Detection runs once: its result is checkpointed, or kept on
+    disk where no folder is set.
     """
     df = detect(items.select(id_col, "text"), dictionary, **how)
     df = with_columns_from(df, ["spans"], f"sel array<{sp.SPAN}>", lambda rows: [span_lists([_longest(r) for r in tuples(rows, *sp.FIELDS)])])
     df = df.select(id_col, "text", "sel").withColumn("_row", F.monotonically_increasing_id())
-    sc = items.sparkSession.sparkContext
-    df = df.persist(StorageLevel.DISK_ONLY) if sc._jsc.sc().getCheckpointDir().isEmpty() else df.checkpoint()
+    df = _kept(df)
     label = masks._lookup(masks.labels(style), F.col("etype"), "UNKNOWN")
-    names = df.select(F.inline("sel")).groupBy("etype", "txt").agg(F.count("*").alias("uses"))
-    names = names.withColumn("label", label).withColumn("block", F.pmod(F.xxhash64("etype", "txt"), F.lit(1024)))
-    before = names.groupBy("label", "block").agg(F.count("*").alias("n"))
-    before = before.select("label", "block", F.coalesce(F.sum("n").over(Window.partitionBy("label").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    number = F.col("before") + F.row_number().over(Window.partitionBy("label", "block").orderBy(F.length("txt").desc(), "txt", "etype"))
+    names = df.select(F.inline("sel")).groupBy("etype", "txt").agg(F.count("*").alias("uses")).withColumn("label", label).withColumn("short", -F.length("txt"))
+    # ranks by ranges of the order: each range is one partition, and its names count from where the ranges before it end
+    names = _kept(names.repartitionByRange("label", "short", "txt", "etype").withColumn("range", F.spark_partition_id()))
+    before = names.groupBy("label", "range").agg(F.count("*").alias("n"))
+    before = before.select("label", "range", F.coalesce(F.sum("n").over(Window.partitionBy("label").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    number = F.col("before") + F.row_number().over(Window.partitionBy("label", "range").orderBy("short", "txt", "etype"))
     left, right = masks.STYLES[style]
     sep = "_" if style == "english_bracket" else ""
-    numbered = names.join(before, ["label", "block"]).select(F.concat(F.lit(left), "label", F.lit(sep), number.cast("string"), F.lit(right)).alias("placeholder"), F.col("etype").alias("type"), F.col("txt").alias("original"), "uses")
+    numbered = names.join(before, ["label", "range"]).select(F.concat(F.lit(left), "label", F.lit(sep), number.cast("string"), F.lit(right)).alias("placeholder"), F.col("etype").alias("type"), F.col("txt").alias("original"), "uses")
     rows = df.select("_row", F.inline("sel"))
     same = (F.col("etype") == F.col("type")) & (F.col("txt") == F.col("original"))
     often = numbered.orderBy(F.desc("uses"), "type", "original").limit(FREQUENT)  # the others meet their rows in a shuffle

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import masks, normalize, patterns, spans as sp
 from veilspark.operators import batch, dictionary, models, report
 from veilspark.operators.detect import detect, without_excluded
+from veilspark.plans import cases
 
 
 def _s(x: str) -> str:
@@ -62,13 +63,20 @@ def _table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(df):
+    """df on all cores: a small table is one split, and what follows is work on texts. One with as many splits as cores is
+    left as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def _fixture(spark, sf, name):
     table, key, text = FIXTURES[name]
-    return _table(spark, sf, table).selectExpr(f"{key} AS doc_id", f"{text} AS text")
+    return dealt(_table(spark, sf, table).selectExpr(f"{key} AS doc_id", f"{text} AS text"))
 
 
 def _docs(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", "text")
+    return dealt(_table(spark, sf, "documents").select("doc_id", "text"))
 
 
 Q: dict = {}
@@ -162,10 +170,10 @@ def mask_chinese_style(spark, sf):
     return masks.masked(df, everything="placeholder", style="chinese_bracket").select("doc_id", "masked_text")
 
 
-@query(f"SELECT doc_id, text AS restored_text FROM ({_select('contracts')})")
+@query(f"SELECT doc_id, text AS restored_text, '[CONTRACT_NUMBER_1]，金额[AMOUNT_1]，日期[DATE_1]，[BANK_ACCOUNT_1]，时间[TIME_1]。' AS masked_text FROM ({_select('contracts')})")
 def restore_roundtrip(spark, sf):
     df = masks.masked(detect(_fixture(spark, sf, "contracts"), entities=False), everything="placeholder")
-    return masks.restored(df).select("doc_id", "restored_text")
+    return masks.restored(df).select("doc_id", "restored_text", "masked_text")
 
 
 @query(f"""SELECT {K} AS doc_id, '[PHONE_1]' AS placeholder, 'phone' AS type, {_PHONE} AS original FROM customer UNION ALL SELECT {K}, '[ID_CARD_1]', 'id_card', {_ID} FROM customer
@@ -181,12 +189,6 @@ def replacement_log(spark, sf):
     return df.select("doc_id", F.inline("log")).select("doc_id", "original_text", "type", "position")
 
 
-@query(f"SELECT doc_id, type, text FROM (SELECT doc_id, '' AS type, '' AS text FROM ({_select('contacts')})) WHERE type = 'leak'")
-def leak_audit(spark, sf):
-    df = masks.masked(detect(_fixture(spark, sf, "contacts"), entities=False), everything="placeholder")
-    return report.leaks(df).select("doc_id", "type", "text")
-
-
 @query("SELECT s_suppkey AS doc_id, '原告[COMPANY_1]（以下简称“[COMPANY_1_ABBR]”）与被告[PERSON_1]，男，签订协议，[COMPANY_1_ABBR]已付款。' AS masked_text FROM supplier")
 def rule_entities(spark, sf):
     return masks.masked(detect(_fixture(spark, sf, "orgs")), abbreviations="abbreviations").select("doc_id", "masked_text")
@@ -242,11 +244,9 @@ def custom_first(spark, sf):
 
 @query(f"SELECT {K} AS doc_id, 'phone' AS etype, {_PHONE} AS txt FROM customer UNION ALL SELECT {K}, 'word', '邮编' FROM customer")
 def fill_gaps(spark, sf):
-    """A model's spans only fill gaps: 13 lies in the phone number."""
-    layer = models.stub_detector({"13": "word", "邮编": "word"})
-    df = detect(_fixture(spark, sf, "contacts"), only=["phone"], detectors=[layer], entities=False)
-    keep = F.filter("spans", lambda s: (s["etype"] == "phone") | (s["txt"] == "邮编") | s["txt"].isNull())
-    return sp.exploded(df.withColumn("spans", keep)).select("doc_id", "etype", "txt")
+    """A model's spans only fill gaps: one begins before the phone number and ends in it."""
+    df = detect(_fixture(spark, sf, "contacts"), only=["phone"], detectors=[models.stub_detector({"手机1": "word", "邮编": "word"})], entities=False)
+    return sp.exploded(df).select("doc_id", "etype", "txt")
 
 
 @query(f"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_EMAIL}')) AS text FROM documents), o AS (SELECT DISTINCT * FROM a WHERE doc_id % 3 <> 0), n AS (SELECT DISTINCT * FROM a WHERE doc_id % 3 <> 1)
@@ -262,30 +262,17 @@ def style_detect(spark, sf):
     return _docs(spark, sf).select("doc_id", normalize.placeholder_style(F.col("text")).alias("style"))
 
 
-@query("SELECT page_id, CASE WHEN n >= 200 THEN 'native' WHEN n < 50 OR page_id % 2 = 0 THEN 'ocr' ELSE 'native' END AS route FROM (SELECT page_id, length(regexp_replace(substr(html, 1, CAST(page_id % 300 AS INT)), '^\\s+|\\s+$', '', 'g')) AS n FROM pages)")
+@query("SELECT doc_id, CASE WHEN n >= 200 THEN 'native' WHEN n < 50 OR doc_id % 2 = 0 THEN 'ocr' ELSE 'native' END AS route FROM (SELECT doc_id, length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) AS n FROM documents)")
 def scan_route(spark, sf):
-    text = F.substring("html", F.lit(1), (F.col("page_id") % 300).cast("int"))
-    return _table(spark, sf, "pages").select("page_id", normalize.page_route(text, F.col("page_id") % 2 == 0).alias("route"))
+    return _docs(spark, sf).select("doc_id", normalize.page_route(F.coalesce("text", F.lit("")), F.col("doc_id") % 2 == 0).alias("route"))
 
 
-@query("SELECT page_id % 40 AS doc_id, sum(length(trim(substr(html, 1, CAST(page_id % 170 AS INT))))) < 80 * count(*) AS is_scanned FROM pages WHERE page_id % 5 < 3 GROUP BY 1")
+@query("SELECT doc_id // 3 AS doc_id, sum(length(trim(coalesce(text, '')))) < 80 * count(*) AS is_scanned FROM documents GROUP BY 1")
 def scanned_classifier(spark, sf):
+    """Three documents are the pages of one."""
     from veilspark.sources import files
 
-    p = _table(spark, sf, "pages").select((F.col("page_id") % 40).alias("doc_id"), (F.col("page_id") % 5 + 1).alias("page_num"), F.substring("html", F.lit(1), (F.col("page_id") % 170).cast("int")).alias("native_text"))
-    return files.scanned(p)
-
-
-@query("SELECT page_id, CASE WHEN n >= 200 THEN 'native' WHEN n < 50 OR page_id % 2 = 0 THEN 'ocr' ELSE 'native' END AS route FROM (SELECT page_id, length(regexp_replace(html, '^\\s+|\\s+$', '', 'g')) AS n FROM pages)")
-def scan_route_whole(spark, sf):
-    return _table(spark, sf, "pages").select("page_id", normalize.page_route(F.col("html"), F.col("page_id") % 2 == 0).alias("route"))
-
-
-@query("SELECT page_id % 40 AS doc_id, sum(length(trim(html))) < 80 * count(*) AS is_scanned FROM pages WHERE page_id % 5 < 3 GROUP BY 1")
-def scanned_classifier_whole(spark, sf):
-    from veilspark.sources import files
-
-    return files.scanned(_table(spark, sf, "pages").select((F.col("page_id") % 40).alias("doc_id"), (F.col("page_id") % 5 + 1).alias("page_num"), F.col("html").alias("native_text")))
+    return files.scanned(_docs(spark, sf).select(F.expr("doc_id div 3").alias("doc_id"), (F.col("doc_id") % 3 + 1).alias("page_num"), F.coalesce("text", F.lit("")).alias("native_text")))
 
 
 @query("""SELECT doc_id, CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN greatest(8.0, (doc_id % 9) * 13.0 + 3) WHEN 1 THEN greatest(2.0, (doc_id % 9) * CAST(0.8 AS DOUBLE) + 1.5) WHEN 2 THEN greatest(2.0, n_chars / 100.0) ELSE greatest(1.0, n_chars / 200.0) END AS eta FROM documents""")
@@ -367,16 +354,6 @@ def findings_top3(spark, sf):
     return report.top_examples(found).select("doc_id", "type", "text", "rank", "more")
 
 
-@query(f"SELECT s_suppkey AS idx, concat('原告', {_FULL}, '与', {_PERSON}) AS restored_text FROM supplier")
-def batch_global(spark, sf):
-    """One mapping for the whole batch; restored again with it."""
-    items = _table(spark, sf, "supplier").selectExpr("s_suppkey AS idx", f"concat('原告', {_FULL}, '与', {_PERSON}) AS text")
-    entries = [("company", x) for x in ("杭州青禾软件有限公司", "苏州澜舟软件有限公司", "长沙启辰软件有限公司")] + [("person", "周岩"), ("person", "沈语")]
-    out, mapping = batch.run_global(items, entries, entities=False)
-    pairs = [(r.placeholder, r.original) for r in mapping.limit(100).collect()]
-    return batch.restore_report(out.withColumnRenamed("masked_text", "text"), pairs).select("idx", "restored_text")
-
-
 @query("SELECT page_id, regexp_replace(concat('a b', chr(1), CAST(page_id AS VARCHAR(20)), '.pdf'), '[\\x00-\\x1f\\x7f]+', '_', 'g') AS name FROM pages")
 def safe_filenames(spark, sf):
     return _table(spark, sf, "pages").selectExpr("page_id", "concat('dir/ a b', chr(1), CAST(page_id AS VARCHAR(20)), '.pdf. ') AS p").select("page_id", normalize.safe_filename(F.col("p")).alias("name"))
@@ -406,8 +383,8 @@ def flagship(spark, sf_dir):
 
 
 def queries():
-    return dict(Q)
+    return Q | cases.Q
 
 
 def oracle_sql():
-    return dict(SQL)
+    return SQL | cases.SQL

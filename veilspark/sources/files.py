@@ -23,6 +23,8 @@ INPUTS = (".txt", ".md", ".pdf", ".docx", ".doc", ".jpg", ".jpeg", ".png", ".bmp
 OUTPUTS = (".txt", ".md", ".pdf", ".docx")
 ENCODINGS = ("utf-8-sig", "utf-8", "gbk", "gb18030")
 LARGEST = 50 << 20
+#: What fields for links leave in a text.
+FIELD_CODES = r"HYPERLINK\s+\S+|HYPERLINK"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -37,7 +39,7 @@ def plain_text(data: bytes) -> str:
 
 def _paragraph(p) -> str:
     out = "".join("\n" if x.tag == f"{_W}br" else "\t" if x.tag == f"{_W}tab" else x.text or "" for x in p.iter() if x.tag in (f"{_W}t", f"{_W}br", f"{_W}tab", f"{_W}instrText"))
-    return re.sub(r"HYPERLINK\s+\S+|HYPERLINK", "", out).strip()
+    return re.sub(FIELD_CODES, "", out).strip()
 
 
 def docx_text(data: bytes) -> str:
@@ -214,7 +216,12 @@ def parse_dictionary(text: str | None) -> list[tuple[str, str]]:
 
 def corpus_list(spark: SparkSession, path: str, there: DataFrame | None = None) -> DataFrame:
     """path of a list of files without blank lines and comments; with there (path) only files that are in it."""
-    listed = spark.read.text(path).select(F.trim("value").alias("path")).filter("path <> '' and not startswith(path, '#')")
+    return corpus_paths(spark.read.text(path), there)
+
+
+def corpus_paths(lines: DataFrame, there: DataFrame | None = None) -> DataFrame:
+    """The same of a table of lines (value)."""
+    listed = lines.select(F.trim("value").alias("path")).filter("path <> '' and not startswith(path, '#')")
     return listed if there is None else listed.join(there.select("path").distinct(), "path", "left_semi")
 
 
