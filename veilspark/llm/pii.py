@@ -210,8 +210,8 @@ def made_cases(n: int = CASES, seed: int = 5) -> list[tuple[str, list[tuple[int,
         return mark.join(s[i : i + size] for i in range(0, len(s), size))
 
     def email():
-        at = rng.choice(["(at)", "[at]", " (at) ", " [at] ", "{at}", "<at>", " AT ", " at ", " @ ", " @ ", "@"])
-        dot = rng.choice([" (dot) ", "(dot)", "[dot]", " dot ", " DOT ", " . ", "[.]" if "[" in at else "(dot)"] if at.strip() != "@" else [" . ", " (dot) ", "(dot)", "[dot]"])
+        at = rng.choice(["(at)", "[at]", " (at) ", " [at] ", "{at}", "<at>", " AT ", " at ", " @ ", " @ ", " @ ", "@"])
+        dot = rng.choice([" (dot) ", "(dot)", "[dot]", " dot ", " DOT ", " . ", "[.]" if "[" in at else "(dot)"] if at.strip() != "@" else [" . ", " . ", " . ", " (dot) ", "(dot)", "[dot]"])
         if dot == "[.]":
             dot = "[dot]"
         name = rng.choice([f"{word()}.{word()}", f"{word()}{num(2)}", f"{word()}_{num(2)}", word()])
