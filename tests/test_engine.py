@@ -265,6 +265,11 @@ def test_injected_layers(spark):
     assert layer([long, ""]) == [[(500, "王明", "person")], []] and layer(["王明"]) == [[(0, "王明", "person")]] and len(loads) == 1
     broken = models.chunked_layer("broken", lambda: 1 / 0, models.ner_spans)
     assert broken(["x"]) == [[]]
+    text = "，Jo Roe a@b.cn https://x.y/z 138-1234 王明 sk_1"
+    at = lambda x: text.index(x)
+    raw = [("B-private_person", 0, "，Jo ", 0.9), ("private_person", at("Roe"), "Roe", 0.6), ("private_email", at("a@b"), "a@b.cn", 0.9), ("private_url", at("https"), "https", 0.9), ("secret", at("://x"), "://x", 0.9), ("private_phone", at("138"), "138", 0.9), ("private_person", at("王明"), "王明", 0.9), ("secret", at("sk_1"), "sk", 0.4)]
+    layer = models.chunked_layer("pii", lambda: lambda cut: [raw for _ in cut], models.pii_spans, "pii")
+    assert layer([text]) == [[(1, "Jo Roe", "person"), (at("a@b"), "a@b.cn", "email"), (at("https"), "https://x.y/z", "website"), (at("138"), "138-1234", "phone")]]
     asked = []
 
     def ask(prompt, text):

@@ -217,6 +217,33 @@ def ner_spans(raw: list[tuple[str, int, str, float]], text: str, least: float =
     return [r for r in rows if not (r[2] == "person" and r[1][-1] in PERSON_TAILS) and not (body(r[2]) and (r[1] in GENERIC_BODIES or article.match(r[1])))]
 
 
+def pii_spans(raw: list[tuple[str, int, str, float]], text: str, least: float = 0.5, latin_people: bool = True) -> list[tuple[int, str, str]]:
+    """refine of the other model: typed(), anchored(), merged_neighbours(), joined_urls(), extended() and in_order() for one
+    text."""
+    good = []
+    for label, p, x, score in raw:
+        kind = PII_TYPES.get(re.sub("^[BIOES]-", "", label))
+        cut = text[p : p + len(x)]
+        bare = cut.strip(ENDS)
+        if kind and score >= least and len(bare) >= 2 and (kind != "person" or not latin_people or re.search("[A-Za-z0-9]", bare)):
+            good.append((p + len(cut) - len(cut.lstrip(ENDS)), bare, kind))
+    out: list[tuple[int, str, str]] = []
+    for p, x, kind in sorted(set(good)):
+        a, t, k = out[-1] if out else (0, "", "")
+        gap = p - a - len(t)
+        if k == kind and 0 <= gap <= 3 and re.fullmatch(r"[ \t.,\-:/@·]*", text[a + len(t) : p]):
+            out[-1] = (a, text[a : p + len(x)], kind)
+        elif k == "website" and kind == "secret" and gap == 0 and x.startswith(("://", "/")):
+            out[-1] = (a, t + x, k)
+        else:
+            out.append((p, x, kind))
+    for k, (p, x, kind) in enumerate(out):
+        more = re.compile(f"{TAILS[kind]}+").match(text, p + len(x)) if kind in TAILS else None
+        if more:
+            out[k] = (p, (x + more[0]).rstrip(" -"), kind)
+    return sorted(set(out))
+
+
 PROMPT = (
     'Find personal and sensitive information in the text. Answer with one JSON object alone: {"entities": [{"text": "...", "type": "..."}]}. '
     "Copy each text exactly as it stands. Types: " + ", ".join(REPLY_TYPES) + '. Without findings answer {"entities": []}.'
