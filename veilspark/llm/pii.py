@@ -42,7 +42,8 @@ BASE = {
 LOOSE = {
     "email_like": (
         r"[(\[{<]\x20?(?i:at|dot)\x20?[)\]}>]|\x20(?i:at|dot)\x20|\x20[@.]|@\x20",
-        r"[A-Za-z0-9._%+-]+(?:(?:\x20?[(\[{<]\x20?(?i:at)\x20?[)\]}>]\x20?|\x20(?i:at)\x20|\x20@\x20?|@\x20)[A-Za-z0-9-]+(?:(?:\x20?(?:\.|[(\[{<]\x20?(?i:dot)\x20?[)\]}>])\x20?|\x20(?i:dot)\x20)[A-Za-z0-9-]+)+"
+        # the run of characters before the sign is taken as a whole, from its start: nothing in it can be the sign
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:(?:\x20?[(\[{<]\x20?(?i:at)\x20?[)\]}>]\x20?|\x20(?i:at)\x20|\x20@\x20?|@\x20)[A-Za-z0-9-]+(?:(?:\x20?(?:\.|[(\[{<]\x20?(?i:dot)\x20?[)\]}>])\x20?|\x20(?i:dot)\x20)[A-Za-z0-9-]+)+"
         r"|@[A-Za-z0-9-]+(?:(?:\x20?[(\[{<]\x20?(?i:dot)\x20?[)\]}>]\x20?|\x20(?i:dot)\x20|\x20\.\x20?)[A-Za-z0-9-]+)+)",
     ),
     "ip_like": (r"[0-9](?:\x20|\[|\(){0,2}\.(?:\x20|\]|\)){0,2}[0-9]|[0-9]\x20?[\[(]\x20?(?i:dot)\x20?[\])]\x20?[0-9]", r"[0-9]{1,3}(?:(?:(?:\x20|\[|\(){0,2}\.(?:\x20|\]|\)){0,2}|\x20?[\[(]\x20?(?i:dot)\x20?[\])]\x20?)[0-9]{1,3}){3}"),
