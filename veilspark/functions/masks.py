@@ -77,35 +77,59 @@ def partly(txt: str, etype: str) -> str:
     return "*" * n
 
 
-def mask_one(text: str, spans: list[tuple[int, str, str]], chosen: dict[str, str], style: str, seed: dict[str, tuple[str, str]], short: dict[str, str]) -> tuple[str, dict[str, dict], list[dict]]:
-    """(masked text, mapping, log) of one text; see masked()."""
+def fact(etype: str, original: str) -> dict:
+    return {"type": etype, "original": original, "is_abbreviation": False, "full_name": None, "full_placeholder": None}
+
+
+class Known:
+    """A mapping that grows from text to text: placeholders with their (type, original), names with their placeholders, and
+    for each label the number below which none is free, so that a text costs what is new in it and not what is known."""
+
+    def __init__(self, seed: dict[str, tuple[str, str]]):
+        self.owner, self.given = dict(seed), {k: ph for ph, k in seed.items()}
+        self.free: dict[str, int] = {}
+
+    def learn(self, facts: dict[str, dict], free: dict[str, int]) -> None:
+        """Takes over what mask_with() has given."""
+        for ph, v in facts.items():
+            self.owner[ph] = (v["type"], v["original"])
+            self.given[v["type"], v["original"]] = ph
+        self.free |= free
+
+
+def mask_with(known: Known, text: str, spans: list[tuple[int, str, str]], chosen: dict[str, str], style: str, short: dict[str, str]) -> tuple[str, dict[str, dict], list[dict], dict[str, int]]:
+    """(masked text, new entries of the mapping, log, free numbers) of one text; known stays as it is until it learns them."""
     left, right = STYLES[style]
     english = style == "english_bracket"
     label = labels(style)
-    owner: dict[str, tuple[str, str]] = dict(seed)
-    given = {k: ph for ph, k in seed.items()}
-    facts: dict[str, dict] = {ph: {"type": t, "original": o, "is_abbreviation": False, "full_name": None, "full_placeholder": None} for ph, (t, o) in seed.items()}
-    last: dict[str, int] = {}
+    given: dict[tuple[str, str], str] = {}
+    new: set[str] = set()
+    facts: dict[str, dict] = {}
+    free: dict[str, int] = {}
+
+    def numbered(series: str, made) -> str:
+        n = free.get(series) or known.free.get(series, 1)
+        while (ph := made(n)) in known.owner or ph in new:
+            n += 1
+        free[series] = n + 1
+        return ph
 
     def placeholder(etype: str, name: str) -> str:
         key = (etype, name)
-        if key not in given:
+        ph = given.get(key) or known.given.get(key)
+        if ph is None:
             full = short.get(name)
             if full is not None and full != name:
-                base, k = placeholder(etype, full), 1
-                mark = "_ABBR" if english else "简化名"
-                while (ph := base[:-1] + mark + (("_" if english else "") + str(k) if k > 1 else "") + right) in owner:
-                    k += 1
+                base, mark = placeholder(etype, full), "_ABBR" if english else "简化名"
+                ph = numbered(base, lambda k: base[:-1] + mark + (("_" if english else "") + str(k) if k > 1 else "") + right)
                 facts[ph] = {"type": etype, "original": name, "is_abbreviation": True, "full_name": full, "full_placeholder": base}
             else:
                 word = label.get(etype, "UNKNOWN" if english else "其他")
-                n = last.get(etype, 0) + 1
-                while (ph := f"{left}{word}{'_' if english else ''}{n}{right}") in owner:
-                    n += 1
-                last[etype] = n
-                facts[ph] = {"type": etype, "original": name, "is_abbreviation": False, "full_name": None, "full_placeholder": None}
-            owner[ph], given[key] = key, ph
-        return given[key]
+                ph = numbered(word, lambda n: f"{left}{word}{'_' if english else ''}{n}{right}")
+                facts[ph] = fact(etype, name)
+            given[key] = ph
+            new.add(ph)
+        return ph
 
     taken: list[tuple[int, int, str, str, str]] = []
     held = Occupied()
@@ -114,7 +138,8 @@ def mask_one(text: str, spans: list[tuple[int, str, str]], chosen: dict[str, str
             continue
         if chosen.get(etype, "placeholder") == "partial":
             mask = partly(txt, etype)
-            facts.setdefault(mask, {"type": etype, "original": txt, "is_abbreviation": False, "full_name": None, "full_placeholder": None})
+            if mask not in known.owner:
+                facts.setdefault(mask, fact(etype, txt))
         else:
             mask = placeholder(etype, txt)
         taken.append((pos, pos + len(txt), txt, etype, mask))
@@ -126,7 +151,13 @@ def mask_one(text: str, spans: list[tuple[int, str, str]], chosen: dict[str, str
         out += [gap, mask]
         tail = (mask + tail)[:80]
         at = start
-    return "".join(reversed([*out, text[:at]])), facts, log
+    return "".join(reversed([*out, text[:at]])), facts, log, free
+
+
+def mask_one(text: str, spans: list[tuple[int, str, str]], chosen: dict[str, str], style: str, seed: dict[str, tuple[str, str]], short: dict[str, str]) -> tuple[str, dict[str, dict], list[dict]]:
+    """(masked text, mapping, log) of one text; see masked()."""
+    out, facts, log, _ = mask_with(Known(seed), text, spans, chosen, style, short)
+    return out, {ph: fact(*k) for ph, k in seed.items()} | facts, log
 
 
 FACT = "struct<type:string,original:string,is_abbreviation:boolean,full_name:string,full_placeholder:string>"

@@ -10,6 +10,7 @@ numbers differ from those in order.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -20,6 +21,7 @@ from veilspark.functions import masks, spans as sp
 from veilspark.functions.shipping import ship, span_lists, tuples, with_columns_from
 from veilspark.functions.spans import Occupied
 from veilspark.operators.detect import Layers, detect
+from veilspark.operators.dictionary import Held
 
 MAPPING = f"map<string,{masks.FACT}>"
 #: Names that are broadcast in global mode: the most frequent ones; the others have few rows each.
@@ -39,17 +41,25 @@ def masked_in_order(items: DataFrame, by: str = "batch", dictionary: Sequence[tu
     def fold(pdf):
         import pandas as pd
 
-        known, rows = dict(first), []
+        known, rows, layers = masks.Known({k: (v["type"], v["original"]) for k, v in first.items()}), [], Layers(**how)
+        names = Held(entries)
+        given = len(names.entries)
+        for t, n in known.owner.values():
+            names.add(t, n)
         for item in pdf.sort_values("idx").itertuples(index=False):
             idx, text = int(item.idx), item.text if isinstance(item.text, str) else ""
             try:
-                wanted = [*entries, *extra.get(idx, ()), *((v["type"], v["original"]) for v in known.values())]
-                spans, short = Layers([(t, n) for t, n in wanted if n and n in text], **how)([text])[0]
+                held = names(text)
+                at = bisect_left(held, given)
+                wanted = [*(names.entries[k] for k in held[:at]), *((t, n) for t, n in extra.get(idx, ()) if n and n in text), *(names.entries[k] for k in held[at:])]
+                spans, short = layers.knowing(wanted)([text])[0]
                 spans = [s[:3] for s in spans if (s[2], s[1]) not in gone.get(idx, ())]
-                out, facts, log = masks.mask_one(text, spans, chosen, style, {k: (v["type"], v["original"]) for k, v in known.items()}, short)
-                mine = {x["masked_text"] for x in log}
-                known |= {k: v for k, v in facts.items() if k in mine or k not in known}
-                rows.append((getattr(item, by), idx, "done", None, out, sorted(mine), {k: v for k, v in facts.items() if k in mine}))
+                out, facts, log, free = masks.mask_with(known, text, spans, chosen, style, short)
+                mine = {x["masked_text"]: known.owner.get(x["masked_text"]) for x in log}
+                rows.append((getattr(item, by), idx, "done", None, out, sorted(mine), {k: facts[k] if old is None else masks.fact(*old) for k, old in mine.items()}))
+                known.learn(facts, free)
+                for v in facts.values():
+                    names.add(v["type"], v["original"])
             except Exception as e:  # one document's failure is its own
                 rows.append((getattr(item, by), idx, "error", f"{type(e).__name__}: {e}"[:500], None, [], {}))
         return pd.DataFrame(rows, columns=[by, "idx", "status", "error", "masked_text", "placeholders", "mapping"])

@@ -83,6 +83,38 @@ class Search:
         return [(p, n, t, "custom", 0, 0) for _, p, n, t in sorted(found)]
 
 
+class Held:
+    """Which names of a growing list a text holds. Names are found by their first characters and their length, so that a
+    look-up costs the text's length and not the number of names."""
+
+    HEAD, FEW = 4, 16
+
+    def __init__(self, entries: Iterable[tuple[str, str]] = ()):
+        self.entries: list[tuple[str, str]] = []
+        self.seen: set[tuple[str, str]] = set()
+        self.heads: dict[int, dict[str, dict[int, dict[str, list[int]]]]] = {}
+        for t, n in entries:
+            self.add(t, n)
+
+    def add(self, etype: str, name: str) -> None:
+        if name and (etype, name) not in self.seen:
+            self.seen.add((etype, name))
+            head = name[: self.HEAD]
+            self.heads.setdefault(len(head), {}).setdefault(head, {}).setdefault(len(name), {}).setdefault(name, []).append(len(self.entries))
+            self.entries.append((etype, name))
+
+    def __call__(self, text: str) -> list[int]:
+        """Places in the list, ascending."""
+        if len(self.entries) <= self.FEW:
+            return [k for k, (_, n) in enumerate(self.entries) if n in text]
+        found: set[int] = set()
+        for size, heads in self.heads.items():
+            for at in range(len(text) - size + 1):
+                for length, names in heads.get(text[at : at + size], {}).items():
+                    found.update(names.get(text[at : at + length], ()))
+        return sorted(found)
+
+
 def with_dictionary_spans(docs: DataFrame, entries: list[tuple[str, str]], text_col: str = "text", only: list[str] | None = None, exclude: list[str] | None = None, into: str = "custom_spans") -> DataFrame:
     """docs with the spans of dictionary names (type, name); see Search, whose size is checked before it's sent."""
     search = Search(entries, only, exclude)
