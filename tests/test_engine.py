@@ -381,3 +381,32 @@ def test_a_batch_costs_what_is_new_in_each_document(spark):
     began = time.time()
     got = {r.idx: r.masked_text for r in batch.masked_in_order(items, everything="placeholder", entities=False).collect()}
     assert got == {i: f"电话[PHONE_{i + 1}]，邮编[POSTAL_CODE_{i + 1}]" for i in range(3000)} and time.time() - began < 25
+
+
+def test_steps_that_follow_each_other_are_one_pass(spark):
+    """Detection, masking and restoring in one worker, in parts by bytes; columns that nobody keeps aren't made."""
+    import pyarrow as pa
+
+    from veilspark.functions import shipping
+
+    d = docs(spark, *("电话13812345678，邮箱a@b.cn" * k for k in range(40)), None)
+    m = masks.masked(detect(d, entities=False), everything="placeholder")
+    lean = masks.masked(detect(d, entities=False), everything="placeholder", made=("masked_text", "replacements"), keep=["doc_id"])
+    back = masks.restored(m)
+    for df in (m, lean, back):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert lean.columns == ["doc_id", "masked_text", "replacements"]
+    assert [tuple(r) for r in lean.orderBy("doc_id").collect()] == [tuple(r) for r in m.select("doc_id", "masked_text", F.size("log").cast("long")).orderBy("doc_id").collect()]
+    assert [r.restored_text for r in back.orderBy("doc_id").collect()] == [r.text for r in d.orderBy("doc_id").collect()]
+    b = pa.RecordBatch.from_pydict({"t": ["x" * n for n in (10, 3 << 20, 600_000, 600_000, 5)] + [None] * 3000})
+    parts = list(shipping.slices(b))
+    assert pa.Table.from_batches(parts).combine_chunks().equals(pa.Table.from_batches([b])) and max(p.num_rows for p in parts) <= shipping.ROWS and len(parts) > 4
+
+
+def test_batches_are_not_read_as_tables_of_their_own(spark):
+    """Many small batches, unsorted and with ids that repeat or lack: one pass over sorted rows."""
+    rows = [(b if b < 300 else None, i, f"电话1381234{b:04d}") for i in (3, 1, 2, 2, None) for b in range(301)]
+    got = batch.masked_in_order(spark.createDataFrame(rows, "batch int, idx long, text string"), everything="placeholder", entities=False)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    assert sorted((r.batch is None, r.batch or 0, r.idx or 0, r.masked_text) for r in got.collect()) == sorted((b is None, b or 0, i or 0, "电话[PHONE_1]") for b, i, _ in rows)

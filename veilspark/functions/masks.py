@@ -97,8 +97,9 @@ class Known:
         self.free |= free
 
 
-def mask_with(known: Known, text: str, spans: list[tuple[int, str, str]], chosen: dict[str, str], style: str, short: dict[str, str]) -> tuple[str, dict[str, dict], list[dict], dict[str, int]]:
-    """(masked text, new entries of the mapping, log, free numbers) of one text; known stays as it is until it learns them."""
+def mask_with(known: Known, text: str, spans: list[tuple[int, str, str]], chosen: dict[str, str], style: str, short: dict[str, str], logged: bool = True) -> tuple[str, dict[str, dict], list, dict[str, int]]:
+    """(masked text, new entries of the mapping, log, free numbers) of one text; known stays as it is until it learns them.
+    Without logged the log holds the masks alone."""
     left, right = STYLES[style]
     english = style == "english_bracket"
     label = labels(style)
@@ -146,10 +147,13 @@ def mask_with(known: Known, text: str, spans: list[tuple[int, str, str]], chosen
     out, tail, at, log = [], "", len(text), []
     for start, stop, txt, etype, mask in sorted(taken, reverse=True):
         gap = text[stop:at]
-        tail = gap + tail if len(gap) < 40 else gap  # as much of the masked right side as a context shows
-        log.append({"original_text": txt, "masked_text": mask, "type": etype, "position": start, "context_before": text[max(0, start - 40) : start], "context_after": tail[:40]})
+        if logged:
+            tail = gap + tail if len(gap) < 40 else gap  # as much of the masked right side as a context shows
+            log.append({"original_text": txt, "masked_text": mask, "type": etype, "position": start, "context_before": text[max(0, start - 40) : start], "context_after": tail[:40]})
+            tail = (mask + tail)[:80]
+        else:
+            log.append(mask)
         out += [gap, mask]
-        tail = (mask + tail)[:80]
         at = start
     return "".join(reversed([*out, text[:at]])), facts, log, free
 
@@ -164,8 +168,13 @@ FACT = "struct<type:string,original:string,is_abbreviation:boolean,full_name:str
 LOG = "array<struct<original_text:string,masked_text:string,type:string,position:int,context_before:string,context_after:string>>"
 
 
-def masked(df: DataFrame, spans: str = "spans", text_col: str = "text", overrides: dict[str, str] | None = None, everything: str | None = None, style: str = "english_bracket", seed: str | None = None, abbreviations: str | None = None) -> DataFrame:
-    """df with masked_text, mapping (placeholder -> type, original, is_abbreviation, full_name, full_placeholder), log.
+#: What masked() makes.
+MADE = {"masked_text": "string", "mapping": f"map<string,{FACT}>", "log": LOG, "replacements": "long"}
+
+
+def masked(df: DataFrame, spans: str = "spans", text_col: str = "text", overrides: dict[str, str] | None = None, everything: str | None = None, style: str = "english_bracket", seed: str | None = None, abbreviations: str | None = None, made: tuple[str, ...] = ("masked_text", "mapping", "log"), keep: list[str] | None = None) -> DataFrame:
+    """df with masked_text, mapping (placeholder -> type, original, is_abbreviation, full_name, full_placeholder), log; or,
+    with made and keep, its columns keep with these of the three, or replacements (how many the log has).
 
     Longer spans come first and overlapping shorter ones go; in that order new names get numbers. seed: a column like
     mapping; its placeholders stay and its numbers are not used again. abbreviations: a map column short -> full.
@@ -176,27 +185,42 @@ def masked(df: DataFrame, spans: str = "spans", text_col: str = "text", override
         raise ValueError(f"style is one of {tuple(STYLES)}")
     chosen = strategies(overrides, everything)
     inputs = [text_col, spans, *(c for c in (seed, abbreviations) if c)]
+    logged = "log" in made
 
     def run(texts, found, *more):
         texts = texts.to_pylist()
         empty = [None] * len(texts)
         old = more[0].to_pylist() if seed else empty
         short = more[-1].to_pylist() if abbreviations else empty
-        out = [[], [], []]
+        out = {c: [] for c in MADE}
         for t, s, o, a in zip(texts, tuples(found, "pos", "txt", "etype"), old, short, strict=True):
             seeds = {k: (v["type"], v["original"]) for k, v in dict(o or {}).items()}
-            m, facts, log = mask_one(t or "", s, chosen, style, seeds, dict(a or {}))
-            for col, v in zip(out, (m if t is not None else None, list(facts.items()), log), strict=True):
-                col.append(v)
-        return out
-
-    return with_columns_from(df, inputs, f"masked_text string, mapping map<string,{FACT}>, log {LOG}", run)
-
-
-def restored(df: DataFrame, mapping: str = "mapping", text_col: str = "masked_text", into: str = "restored_text") -> DataFrame:
-    """df with placeholders replaced by their originals, longer placeholders first; empty originals are left out."""
-    order = F.array_sort(F.transform(F.filter(F.map_entries(F.col(mapping)), lambda e: F.coalesce(e["value"]["original"], F.lit("")) != ""), lambda e: F.struct((-F.length(e["key"])).alias("n"), e["key"].alias("k"), e["value"]["original"].alias("o"))))
-    return df.withColumn(into, F.when(F.col(mapping).isNull(), F.col(text_col)).otherwise(F.aggregate(order, F.col(text_col), lambda t, e: F.replace(t, e["k"], e["o"]))))
+            m, facts, log, _ = mask_with(Known(seeds), t or "", s, chosen, style, dict(a or {}), logged)
+            if "mapping" in made:
+                out["mapping"].append([*({ph: fact(*k) for ph, k in seeds.items()} | facts).items()])
+            out["masked_text"].append(m if t is not None else None)
+            out["log"].append(log)
+            out["replacements"].append(len(log))
+        return [out[c] for c in made]
+
+    return with_columns_from(df, inputs, ", ".join(f"{c} {MADE[c]}" for c in made), run, keep)
+
+
+def restored(df: DataFrame, mapping: str = "mapping", text_col: str = "masked_text", into: str = "restored_text", keep: list[str] | None = None) -> DataFrame:
+    """df, or its columns keep, with placeholders replaced by their originals, longer placeholders first; empty originals
+    are left out. A step of the pass that masks, where it follows one."""
+
+    def run(mappings, texts):
+        out = []
+        for m, t in zip(mappings.to_pylist(), texts.to_pylist(), strict=True):
+            if m and t:
+                originals = {k: v["original"] for k, v in m if v and v["original"]}
+                for k in sorted(originals, key=lambda k: (-len(k), k)):
+                    t = t.replace(k, originals[k]) if k else t
+            out.append(t)
+        return [out]
+
+    return with_columns_from(df, [mapping, text_col], f"{into} string", run, [c for c in df.columns if c != into] if keep is None else keep)
 
 
 def flat_mapping(mapping: dict) -> dict[str, str]:

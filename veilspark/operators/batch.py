@@ -12,13 +12,15 @@ from __future__ import annotations
 import json
 from bisect import bisect_left
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilspark.functions import masks, spans as sp
-from veilspark.functions.shipping import ship, span_lists, tuples, with_columns_from
+from veilspark.functions.shipping import ship, span_lists, struct_maps, tuples, with_columns_from
 from veilspark.functions.spans import Occupied
 from veilspark.operators.detect import Layers, detect
 from veilspark.operators.dictionary import Held
@@ -26,47 +28,72 @@ from veilspark.operators.dictionary import Held
 MAPPING = f"map<string,{masks.FACT}>"
 #: Names that are broadcast in global mode: the most frequent ones; the others have few rows each.
 FREQUENT = 4096
+#: Documents of a fold whose results are sent on at once.
+ROWS = 512
 
 
 def masked_in_order(items: DataFrame, by: str = "batch", dictionary: Sequence[tuple[str, str]] = (), mapping: dict | None = None, scoped: dict[int, Sequence[tuple[str, str]]] | None = None, excluded: dict[int, Sequence[tuple[str, str]]] | None = None, style: str = "english_bracket", overrides: dict[str, str] | None = None, everything: str | None = None, **how) -> DataFrame:
     """items (by, idx, text) to by, idx, status (done or error), error, masked_text, placeholders (used in it, ascending),
     mapping (its own entries). mapping: what all batches start with; scoped, excluded: (type, name) added to, or taken
-    from, what is found in the document with an idx. A batch's texts and mapping are in the memory of its task."""
+    from, what is found in the document with an idx. A task goes through its batches row by row, sorted by batch and idx
+    (equal ones by text); the mapping of one batch is in its memory, its texts aren't."""
     ship(items.sparkSession)
     if style not in masks.STYLES:
         raise ValueError(f"style is one of {tuple(masks.STYLES)}")
     chosen, first, extra, gone = masks.strategies(overrides, everything), dict(mapping or {}), dict(scoped or {}), {k: set(v) for k, v in (excluded or {}).items()}
     entries = list(dict.fromkeys(dictionary))
 
-    def fold(pdf):
-        import pandas as pd
-
-        known, rows, layers = masks.Known({k: (v["type"], v["original"]) for k, v in first.items()}), [], Layers(**how)
-        names = Held(entries)
-        given = len(names.entries)
-        for t, n in known.owner.values():
-            names.add(t, n)
-        for item in pdf.sort_values("idx").itertuples(index=False):
-            idx, text = int(item.idx), item.text if isinstance(item.text, str) else ""
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds = [to_arrow_type(f.dataType) for f in made.fields]
+        knowing = lru_cache(256)(Layers(**how).knowing)  # the same few names stand in many documents
+        batch, fold = None, None
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                rows = []
+                for key, idx, text in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                    if fold is None or not (key == batch or (key != key and batch != batch)):
+                        batch, fold = key, Fold()
+                    rows.append(fold.one(knowing, idx, text or ""))
+                new = [struct_maps(v, t) if pa.types.is_map(t) else pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *new], [by, "idx", *made.names])
+
+    class Fold:
+        """One batch so far."""
+
+        def __init__(self):
+            self.known, self.names = masks.Known({k: (v["type"], v["original"]) for k, v in first.items()}), Held(entries)
+            self.given = len(self.names.entries)
+            for t, n in self.known.owner.values():
+                self.names.add(t, n)
+
+        def one(self, knowing, idx, text):
             try:
+                known, names = self.known, self.names
                 held = names(text)
-                at = bisect_left(held, given)
+                at = bisect_left(held, self.given)
                 wanted = [*(names.entries[k] for k in held[:at]), *((t, n) for t, n in extra.get(idx, ()) if n and n in text), *(names.entries[k] for k in held[at:])]
-                spans, short = layers.knowing(wanted)([text])[0]
+                spans, short = knowing(tuple(wanted))([text])[0]
                 spans = [s[:3] for s in spans if (s[2], s[1]) not in gone.get(idx, ())]
-                out, facts, log, free = masks.mask_with(known, text, spans, chosen, style, short)
-                mine = {x["masked_text"]: known.owner.get(x["masked_text"]) for x in log}
-                rows.append((getattr(item, by), idx, "done", None, out, sorted(mine), {k: facts[k] if old is None else masks.fact(*old) for k, old in mine.items()}))
+                out, facts, log, free = masks.mask_with(known, text, spans, chosen, style, short, logged=False)
+                mine = {x: known.owner.get(x) for x in log}
+                row = ("done", None, out, sorted(mine), [(k, facts[k] if old is None else masks.fact(*old)) for k, old in mine.items()])
                 known.learn(facts, free)
                 for v in facts.values():
                     names.add(v["type"], v["original"])
+                return row
             except Exception as e:  # one document's failure is its own
-                rows.append((getattr(item, by), idx, "error", f"{type(e).__name__}: {e}"[:500], None, [], {}))
-        return pd.DataFrame(rows, columns=[by, "idx", "status", "error", "masked_text", "placeholders", "mapping"])
-
-    kind = dict(items.dtypes)[by]
-    schema = f"{by} {kind}, idx long, status string, error string, masked_text string, placeholders array<string>, mapping {MAPPING}"
-    return items.select(by, F.col("idx").cast("long").alias("idx"), "text").groupBy(by).applyInPandas(fold, schema)
+                return ("error", f"{type(e).__name__}: {e}"[:500], None, [], [])
+
+    made = T.StructType.fromDDL(f"status string, error string, masked_text string, placeholders array<string>, mapping {MAPPING}")
+    rows = items.select(by, F.col("idx").cast("long").alias("idx"), "text")
+    n = max(items.sparkSession.sparkContext.defaultParallelism, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # a number of its own: small rows are long work, and would be put together in a few tasks
+    rows = rows.repartition(n, by).sortWithinPartitions(by, "idx", "text")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:2], *made.fields]))
 
 
 def run_exact(items: DataFrame, dictionary: Sequence[tuple[str, str]] = (), mapping: dict | None = None, **how) -> tuple[list[dict], dict]:
