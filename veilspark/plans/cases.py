@@ -38,12 +38,19 @@ def chosen(values: list[str], key: str = K) -> str:
     return f"CASE CAST({key} % {len(values)} AS INT) " + " ".join(f"WHEN {k} THEN {lit(v, key)}" for k, v in enumerate(values)) + " END"
 
 
+def dealt(df):
+    """df on all cores: a small table is one split, and what follows is work on texts. One with as many splits as cores is
+    left as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def cases(name: str, made: Callable[[DataFrame], Column | DataFrame], *pairs: tuple[str, str], table: str = "customer", key: str = K) -> None:
     """Registers a query: texts by key, made() gives their result (a string column of a table with doc_id and text, or a
     table with doc_id and found)."""
 
     def run(spark, sf):
-        docs = spark.read.parquet(f"{sf}/{table}.parquet").selectExpr(f"{key} AS doc_id", f"{chosen([t for t, _ in pairs], key)} AS text")
+        docs = dealt(spark.read.parquet(f"{sf}/{table}.parquet").select(key)).selectExpr(f"{key} AS doc_id", f"{chosen([t for t, _ in pairs], key)} AS text")
         out = made(docs)
         return out.select("doc_id", "found") if isinstance(out, DataFrame) else docs.select("doc_id", out.alias("found"))
 
@@ -74,7 +81,7 @@ def masking(dictionary=(), **how):
     def made(d):
         given = {k: how[k] for k in ("overrides", "everything", "style") if k in how}
         found = detect(d, list(dictionary), **{k: v for k, v in how.items() if k not in given})
-        return masks.masked(found, abbreviations="abbreviations", **given).select("doc_id", F.col("masked_text").alias("found"))
+        return masks.masked(found, abbreviations="abbreviations", made=("masked_text",), keep=["doc_id"], **given).withColumnRenamed("masked_text", "found")
 
     return made
 
@@ -158,7 +165,7 @@ cases("mrg_03_gaps", lambda d: sp_found(detect(d, entities=False, detectors=[mod
 cases("mrg_04_same_names", lambda d: sp_found(detect(d, only=["person"])), ("原告：周岩，后周岩又说周岩。", "person:周岩|person:周岩|person:周岩"), ("证人：沈语，沈语语", "person:沈语|person:沈语"))
 cases("mrg_05_brands", masking(only=["company"], everything="placeholder"), ("由深圳市长风（北京）融资租赁有限公司付，长风付", "由[COMPANY_1]付，[COMPANY_2]付"), ("由北京银行付，北京付", "由[BANK_NAME_1]付，北京付"), ("由云海物流有限公司付，云海付", "由[COMPANY_1]付，[COMPANY_2]付"))
 cases("mrg_06_custom_first", lambda d: sp_found(detect(d, [("mine", "长风融资")])), ("由长风融资租赁有限公司付", "mine:长风融资"), ("见长风融资", "mine:长风融资"))
-cases("mrg_08_reviewed", lambda d: masks.masked(reviewed_abbreviations(detect(d).withColumn("own", F.when(F.col("doc_id") % 3 == 0, F.lit(None).cast("map<string,string>")).when(F.col("doc_id") % 3 == 1, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).otherwise(F.create_map(F.lit("青禾"), F.lit("苏州澜舟有限公司")))), "own"), abbreviations="abbreviations").select("doc_id", F.col("masked_text").alias("found")),
+cases("mrg_08_reviewed", lambda d: masks.masked(reviewed_abbreviations(detect(d).withColumn("own", F.when(F.col("doc_id") % 3 == 0, F.lit(None).cast("map<string,string>")).when(F.col("doc_id") % 3 == 1, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).otherwise(F.create_map(F.lit("青禾"), F.lit("苏州澜舟有限公司")))), "own"), abbreviations="abbreviations", made=("masked_text",)).select("doc_id", F.col("masked_text").alias("found")),
       *[("由苏州澜舟有限公司（简称“青禾”）付", r) for r in ("由[COMPANY_1]（简称“[COMPANY_1_ABBR]”）付", "由[COMPANY_1]（简称“[COMPANY_2]”）付", "由[COMPANY_1]（简称“[COMPANY_1_ABBR]”）付")])
 
 # ---- masks
@@ -324,7 +331,7 @@ Q["src_11_all_pages"], SQL["src_11_all_pages"] = src_11_all_pages, "SELECT doc_i
 
 # ---- quality
 def qa_01_cases(spark, sf):
-    d = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("CAST(c_custkey AS VARCHAR(20)) AS name", "concat('13800000000 ', CASE WHEN c_custkey % 2 = 0 THEN 'a@b.cn' ELSE 'x' END) AS text")
+    d = dealt(spark.read.parquet(f"{sf}/customer.parquet").select(K)).selectExpr("CAST(c_custkey AS VARCHAR(20)) AS name", "concat('13800000000 ', CASE WHEN c_custkey % 2 = 0 THEN 'a@b.cn' ELSE 'x' END) AS text")
     wish = "array(named_struct('text', 'a@b.cn', 'type', 'email'))"
     must = d.selectExpr("name", f"{wish} AS must_detect", "array(named_struct('text', '13800000000', 'type', 'phone')) AS must_not_detect")
     out = report.check_cases(must, detect(d, entities=False).select("name", "spans"))
@@ -336,7 +343,7 @@ Q["qa_01_cases"], SQL["qa_01_cases"] = qa_01_cases, "SELECT CAST(c_custkey AS VA
 
 def qa_04_planted_leaks(spark, sf):
     """Masked texts to which every fifth row's number is put back."""
-    d = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_custkey AS doc_id", "concat('电话13800000000，邮箱u', CAST(c_custkey AS VARCHAR(20)), '@b.cn') AS text")
+    d = dealt(spark.read.parquet(f"{sf}/customer.parquet").select(K)).selectExpr("c_custkey AS doc_id", "concat('电话13800000000，邮箱u', CAST(c_custkey AS VARCHAR(20)), '@b.cn') AS text")
     m = masks.masked(detect(d, entities=False), everything="placeholder").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat("masked_text", F.lit(" 13900000000 13900000000"))).otherwise(F.col("masked_text")).alias("masked_text"))
     return report.leaks(m).select("doc_id", "type", "text", "occurrences")
 
