@@ -410,3 +410,11 @@ def test_batches_are_not_read_as_tables_of_their_own(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
     assert sorted((r.batch is None, r.batch or 0, r.idx or 0, r.masked_text) for r in got.collect()) == sorted((b is None, b or 0, i or 0, "电话[PHONE_1]") for b, i, _ in rows)
+
+
+def test_texts_of_cases_are_dealt_to_all_cores(spark):
+    from veilspark.plans import cases, catalogue
+
+    for name in ("ent_20_definitions", "ent_21_22_23_claims", "ent_24_gates_exclude", "ent_11_defined_people", "mrg_08_reviewed", "mask_placeholders"):
+        q = cases.Q.get(name) or catalogue.Q[name]
+        assert q(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, name

@@ -6,12 +6,15 @@ by the same SELECT in Spark and in DuckDB (FIXTURES); what they must find is the
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from veilspark.functions import masks, normalize, patterns, spans as sp
 from veilspark.operators import batch, dictionary, models, report
 from veilspark.operators.detect import detect, without_excluded
 from veilspark.plans import cases
+from veilspark.plans.cases import dealt
 
 
 def _s(x: str) -> str:
@@ -63,16 +66,10 @@ def _table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def dealt(df):
-    """df on all cores: a small table is one split, and what follows is work on texts. One with as many splits as cores is
-    left as it is."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
-
-
 def _fixture(spark, sf, name):
     table, key, text = FIXTURES[name]
-    return dealt(_table(spark, sf, table).selectExpr(f"{key} AS doc_id", f"{text} AS text"))
+    columns = [c for c in _table(spark, sf, table).columns if re.search(rf"\b{c}\b", text) or c == key]
+    return dealt(_table(spark, sf, table).select(*columns)).selectExpr(f"{key} AS doc_id", f"{text} AS text")
 
 
 def _docs(spark, sf):
@@ -97,7 +94,7 @@ def _pattern_query(etype: str):
     before, value, behind = VALUES[etype]
 
     def run(spark, sf):
-        docs = _table(spark, sf, "customer").selectExpr(f"{K} AS doc_id", f"concat('{before}', {value}, '{behind}') AS text")
+        docs = dealt(_table(spark, sf, "customer").select(K)).selectExpr(f"{K} AS doc_id", f"concat('{before}', {value}, '{behind}') AS text")
         return sp.exploded(patterns.with_pattern_spans(docs, only=[etype], into="spans")).select("doc_id", "etype", "txt", "pos")
 
     Q[f"pat_{etype}"] = run
@@ -155,31 +152,31 @@ _MASKED_MAIL = f"concat(CASE WHEN length(concat('u', {_s(K)})) <= 2 THEN repeat(
  '，邮箱', {_MASKED_MAIL}, '，邮编[POSTAL_CODE_1]。') AS masked_text FROM customer""")
 def mask_contacts(spark, sf):
     df = detect(_fixture(spark, sf, "contacts"), entities=False)
-    return masks.masked(df).select("doc_id", "masked_text")
+    return masks.masked(df, made=("masked_text",), keep=["doc_id"])
 
 
 @query("SELECT o_orderkey AS doc_id, '[CONTRACT_NUMBER_1]，金额[AMOUNT_1]，日期[DATE_1]，[BANK_ACCOUNT_1]，时间[TIME_1]。' AS masked_text FROM orders")
 def mask_placeholders(spark, sf):
     df = detect(_fixture(spark, sf, "contracts"), entities=False)
-    return masks.masked(df, everything="placeholder").select("doc_id", "masked_text")
+    return masks.masked(df, everything="placeholder", made=("masked_text",), keep=["doc_id"])
 
 
 @query("SELECT o_orderkey AS doc_id, '〔合同号1〕，金额〔金额1〕，日期〔日期1〕，〔银行卡1〕，时间〔时间1〕。' AS masked_text FROM orders")
 def mask_chinese_style(spark, sf):
     df = detect(_fixture(spark, sf, "contracts"), entities=False)
-    return masks.masked(df, everything="placeholder", style="chinese_bracket").select("doc_id", "masked_text")
+    return masks.masked(df, everything="placeholder", style="chinese_bracket", made=("masked_text",), keep=["doc_id"])
 
 
 @query(f"SELECT doc_id, text AS restored_text, '[CONTRACT_NUMBER_1]，金额[AMOUNT_1]，日期[DATE_1]，[BANK_ACCOUNT_1]，时间[TIME_1]。' AS masked_text FROM ({_select('contracts')})")
 def restore_roundtrip(spark, sf):
-    df = masks.masked(detect(_fixture(spark, sf, "contracts"), entities=False), everything="placeholder")
-    return masks.restored(df).select("doc_id", "restored_text", "masked_text")
+    df = masks.masked(detect(_fixture(spark, sf, "contracts"), entities=False), everything="placeholder", made=("masked_text", "mapping"))
+    return masks.restored(df, keep=["doc_id", "masked_text"]).select("doc_id", "restored_text", "masked_text")
 
 
 @query(f"""SELECT {K} AS doc_id, '[PHONE_1]' AS placeholder, 'phone' AS type, {_PHONE} AS original FROM customer UNION ALL SELECT {K}, '[ID_CARD_1]', 'id_card', {_ID} FROM customer
 UNION ALL SELECT {K}, '[EMAIL_1]', 'email', {_MAIL} FROM customer UNION ALL SELECT {K}, '[POSTAL_CODE_1]', 'postal_code', {_s(f'200000 + {K}')} FROM customer""")
 def mapping_export(spark, sf):
-    df = masks.masked(detect(_fixture(spark, sf, "contacts"), entities=False), everything="placeholder")
+    df = masks.masked(detect(_fixture(spark, sf, "contacts"), entities=False), everything="placeholder", made=("mapping",), keep=["doc_id"])
     return df.select("doc_id", F.explode("mapping").alias("placeholder", "v")).select("doc_id", "placeholder", "v.type", "v.original")
 
 
@@ -362,13 +359,13 @@ def safe_filenames(spark, sf):
 @query()
 def masked_documents(spark, sf):
     """All documents through all layers, with default strategies."""
-    return masks.masked(detect(_docs(spark, sf)), abbreviations="abbreviations").select("doc_id", "masked_text", F.size("log").cast("long").alias("replacements"))
+    return masks.masked(detect(_docs(spark, sf)), abbreviations="abbreviations", made=("masked_text", "replacements"), keep=["doc_id"])
 
 
 @query()
 def masked_documents_native(spark, sf):
     """All documents through the layers that are expressions alone."""
-    return masks.masked(detect(_docs(spark, sf), entities=False)).select("doc_id", "masked_text", F.size("log").cast("long").alias("replacements"))
+    return masks.masked(detect(_docs(spark, sf), entities=False), made=("masked_text", "replacements"), keep=["doc_id"])
 
 
 @query()
